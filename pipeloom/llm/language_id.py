@@ -58,22 +58,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, count): n = 0 for words; counts are partial."""
 
     def flush() -> pa.RecordBatch:
+        counts: dict[tuple[str, int], Counter] = {}
+        for lang, found in by_lang.items():
+            counts[lang, 0] = found
+            for n in range(1, LONGEST + 1):
+                own = counts[lang, n] = Counter()
+                for w, c in found.items():
+                    for g in ngrams(w, n):
+                        own[g] += c
+        by_lang.clear()
         rows = [(lang, n, g, c) for (lang, n), found in counts.items() for g, c in found.items()]
-        counts.clear()
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "gram", "c"])
 
-    counts: dict[tuple[str, int], Counter] = {}
+    by_lang: dict[str, Counter] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            found = Counter(words(text))
-            counts.setdefault((lang, 0), Counter()).update(found)
-            for n in range(1, LONGEST + 1):
-                own = counts.setdefault((lang, n), Counter())
-                for w, c in found.items():
-                    for g in ngrams(w, n):
-                        own[g] += c
-        if sum(map(len, counts.values())) > _CACHE:
+            by_lang.setdefault(lang, Counter()).update(words(text))
+        if sum(map(len, by_lang.values())) > _CACHE:
             yield flush()
     yield flush()
 
