@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, near_dedup, quality, sharding, token_counts
+from . import decontamination, language_id, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
 from ._store import materialise
 
 
@@ -45,6 +45,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_sharding, op5_quality_rules, op6_decontamination, op7_near_dedup, op8_token_counts)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove(_read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_sharding, op5_quality_rules, op6_decontamination, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE, "op5_quality_rules": quality.ORACLE}
