@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
+from . import decontamination, html_text, language_id, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
 from ._store import materialise
 
 
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents", "doc_id"))
 
@@ -53,6 +57,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_sharding, op5_quality_rules, op6_decontamination, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_html_extraction, op4_sharding, op5_quality_rules, op6_decontamination, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE, "op5_quality_rules": quality.ORACLE}
