@@ -1,0 +1 @@
+"""Pipe-style analytics on Spark DataFrames."""
