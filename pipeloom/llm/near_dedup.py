@@ -12,16 +12,18 @@ fewer words, the whole sequence as one). Documents with
 2. Documents with equal sets are one class (128-bit hash of the set).
 3. Bands of ROWS coordinates: classes that share a band share a bucket. With 32
    bands of 4 a pair at 0.8 is missed with a chance of 5e-8.
-4. In each bucket all classes are compared with one hub, which gives a linear
-   number of pairs. Pairs whose sketches agree in less than LEAST of the coordinates
-   (4.5 standard deviations below 0.8) are dropped, the rest is verified on the full
-   sets. Components of the verified links follow by large-star / small-star rounds.
-5. Buckets that still hold several components are compared in blocks of at most
-   2 * BLOCK classes: each class names its most similar ones of other components,
-   which are verified in turn; this goes on until no unverified pair is left. So a
-   link in a bucket is never lost, and no task holds a whole bucket.
-
-Texts are shuffled only for classes with a pair to verify, once each.
+4. Candidates: in each bucket the classes whose sizes fit and whose sketches agree in
+   LEAST of the coordinates or more (4.5 standard deviations below 0.8) are joined by
+   a spanning forest, not by all pairs; buckets above CROWD hang on one hub instead.
+   Components of these edges (large-star / small-star rounds) hold every link.
+5. Exact verification: the classes of a candidate component meet in blocks of about
+   BLOCK with their texts (some in all blocks of their component, as pivots); links are tried on the full sets, most similar sketches
+   first, and only between classes not yet connected, so a block gives a spanning forest
+   of its links and stops early. Where a component of several blocks still holds more
+   than one group, the classes outside of its largest group are compared with every
+   block too. So no link is lost, no pair list is made and no task holds a whole group.
+
+Texts are shuffled only for candidates, once each.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; rows with equal sets, repeated rows included, are one group; a null doc_id
@@ -31,11 +33,10 @@ empty table. Other columns are not looked at.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,8 @@ from ._words import SPACED, U, chunks, grams, mix, numbers, split
 SHINGLE, PERCENT = 4, 80
 COORDS, ROWS = 128, 4
 LEAST = 0.64
-BLOCK = 512
+BLOCK, CROWD, PIVOTS = 384, 1024, 48
 _SEEDS = numbers(2 * COORDS, 7)
-_ODD = numbers(ROWS, 8)
 _FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,70 +86,144 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _features(docs: DataFrame, shingle: int) -> DataFrame:
-    bands = COORDS // ROWS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch):
                 sets = shingle_sets(b.column("text"), shingle)
-                cid, keys, small = [], [], []
-                for x in sets:
-                    if not len(x):
-                        cid.append(None), keys.append(None), small.append(None)
-                        continue
-                    s = sketch(x)
-                    cid.append(np.array([mix(x).sum(), mix(x ^ U(0x5DEECE66D)).sum()], U).tobytes())
-                    keys.append(mix((s.reshape(bands, ROWS) * _ODD).sum(1) + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64))
-                    small.append((mix(s) & U(0xFFFF)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("th1"), b.column("th2"), pa.array([len(x) for x in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                    ["doc_id", "th1", "th2", "n", "cid", "bands", "sketch"],
-                )
-
-    return docs.select("doc_id", "th1", "th2", "text").mapInArrow(run, "doc_id long, th1 long, th2 long, n long, cid binary, bands array<long>, sketch binary")
-
-
-def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
+                cid = [np.array([mix(x).sum(), mix(x ^ U(0x5DEECE66D)).sum()], U).tobytes() if len(x) else None for x in sets]
+                small = [short_sketch(x).tobytes() if len(x) else None for x in sets]
+                cols = [b.column("doc_id"), b.column("th1"), b.column("th2"), pa.array([len(x) for x in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(small, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th1", "th2", "n", "cid", "sketch"])
+
+    return docs.select("doc_id", "th1", "th2", "text").mapInArrow(run, "doc_id long, th1 long, th2 long, n long, cid binary, sketch binary")
+
+
+def short_sketch(x: np.ndarray) -> np.ndarray:
+    """16 bits of each coordinate."""
+    return (mix(sketch(x)) & U(0xFFFF)).astype(np.uint16)
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint16).reshape(-1, COORDS)
+
+
+def fitting(n: np.ndarray, s: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (p, q) whose sizes n and sketches s allow a link, and in how many coordinates they agree."""
+    ok = 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
+    p, q = p[ok], q[ok]
+    alike = np.concatenate([np.zeros(0, np.int64), *[(s[p[k : k + 32768]] == s[q[k : k + 32768]]).sum(1) for k in range(0, len(p), 32768)]])
+    ok = alike >= LEAST * COORDS
+    return p[ok], q[ok], alike[ok]
+
+
+def _pairs_of_two(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidates among pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, COORDS) for c in ("sa", "sb"))
-            ok = ((sa == sb).sum(1) >= LEAST * COORDS) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            k = b.num_rows
+            n = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()])
+            at, _, _ = fitting(n, np.concatenate([_matrix(b, "sa"), _matrix(b, "sb")]), np.arange(k), np.arange(k) + k, percent)
+            yield b.select(["a", "b"]).take(pa.array(at))
 
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs that are links, by their full sets; pairs must be written already."""
+def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of neighbouring rows that agree in columns, and the number of each row's group."""
+    rest: list[pa.Table] = []
+    for batch in itertools.chain(batches, [None]):
+        table = pa.concat_tables([*rest, *([pa.Table.from_batches([batch])] if batch is not None else [])]) if rest or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for c in columns:
+            x = np.asarray(table.column(c).to_pylist(), object) if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        group = np.cumsum(new)
+        cut = len(group) if batch is None else int(np.searchsorted(group, group[-1]))  # the last group may go on
+        rest = [table.slice(cut)] if cut < len(group) else []
+        if cut:
+            yield table.slice(0, cut), group[:cut]
+
+
+def _bucket_forests(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges of the candidates in each bucket of CROWD classes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in chunks(batch, "tb"):
-                known: dict[bytes, np.ndarray] = {}
-                ok = []
-                ta = b.column("ta")
-                for i, (a, y) in enumerate(zip(b.column("a").to_pylist(), shingle_sets(b.column("tb"), shingle), strict=True)):
-                    if a not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[a] = shingle_sets(ta.slice(i, 1), shingle)[0]
-                    both, all_ = similarity(known[a], y)
-                    ok.append(100 * both >= percent * all_)
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "th1", "th2"), "cid")
-    need = materialise(need, "need")
-    texts = may_match(docs.select("th1", "th2", "text"), "th1", bitmap(need, F.col("th1")))
-    texts = texts.dropDuplicates(["th1", "th2"])  # before the join: copies of a text are as many as they like
-    texts = materialise(need.join(texts, ["th1", "th2"]).select("cid", "text"), "texts")
-    side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        for table, group in _by_group(batches, ("key",)):
+            n, s = table.column("n").to_numpy(), _matrix(table, "sketch")
+            p, q = [], []
+            for lag in range(1, int(np.bincount(group).max())):
+                at = np.flatnonzero(group[lag:] == group[:-lag])
+                x, y, _ = fitting(n, s, at, at + lag, percent)
+                p.append(x), q.append(y)
+            label = np.arange(table.num_rows)
+            if p:
+                x, y = np.concatenate(p), np.concatenate(q)
+                while True:  # least reachable row, by minima and jumps
+                    before = label
+                    low = np.minimum(label[x], label[y])
+                    label = label.copy()
+                    np.minimum.at(label, x, low)
+                    np.minimum.at(label, y, low)
+                    label = label[label]
+                    if (label == before).all():
+                        break
+            at = np.flatnonzero(label != np.arange(len(label)))
+            cid = table.column("cid").combine_chunks()
+            yield pa.RecordBatch.from_arrays([cid.take(pa.array(label[at])), cid.take(pa.array(at))], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+
+
+def block_links(sets: list[np.ndarray], s: np.ndarray, comp: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs (p, q) that join different components, tried from the most similar sketches on."""
+    n = np.array([len(x) for x in sets])
+    p, q, alike = fitting(n, s, p, q, percent)
+    root = comp.copy()
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        a, b = find(int(p[k])), find(int(q[k]))
+        if a != b:
+            both, all_ = similarity(sets[p[k]], sets[q[k]])
+            if 100 * both >= percent * all_:
+                root[max(a, b)] = min(a, b)
+                out.append((int(p[k]), int(q[k])))
+    return out
+
+
+def _links(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Spanning links (a, b) of each group (cand, y, z) of texts; pairs are those of two rows of side 0, or of one of each side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _by_group(batches, ("cand", "y", "z")):
+            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                part = table.slice(lo, hi - lo).combine_chunks()
+                cids, side = part.column("cid").to_pylist(), part.column("side").to_numpy()
+                sets = shingle_sets(part.column("text").combine_chunks(), shingle)
+                names = {}
+                comp = np.array([names.setdefault(c, i) for i, c in enumerate(part.column("comp").to_pylist())])
+                p, q = np.triu_indices(hi - lo, 1)
+                ok = (comp[p] != comp[q]) & (side[p] != side[q]) if side.any() else comp[p] != comp[q]
+                for i, j in block_links(sets, _matrix(part, "sketch"), comp, p[ok], q[ok], percent):
+                    a.append(cids[i]), b.append(cids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    rows = rows.select("cand", "y", "z", "side", "cid", "comp", "sketch", "text")
+    return rows.repartition("cand", "y", "z").sortWithinPartitions("cand", "y", "z").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,71 +246,65 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, most: int, percent: int) -> DataFrame:
-    """From buckets with several components: for each class the ``most`` most similar classes of others (a < b),
-    block by block; ``more`` tells whether any were left out."""
-    own = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rows = own.join(mixed, "key").join(classes.select("cid", "n", "sketch"), "cid")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "cid", "comp", "n", "sketch")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cid, comp, n, x = (pdf[c].to_numpy() for c in ("cid", "comp", "n", "x"))
-        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, COORDS)
-        a, b, more = [], [], []
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        for k in range(len(pdf)):
-            ok = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            if two:
-                ok &= x != x[k]
-            at = np.flatnonzero(ok)
-            same = (s[at] == s[k]).sum(1)
-            at, same = at[same >= LEAST * COORDS], same[same >= LEAST * COORDS]
-            for q in at[np.argsort(-same, kind="stable")[:most]]:
-                a.append(min(cid[k], cid[q])), b.append(max(cid[k], cid[q])), more.append(len(at) > most)
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "more": pd.Series(more, dtype=bool)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary, more boolean")
-
-
 def text_keys(text: Column) -> dict[str, Column]:
     """128 bits of a text."""
     text = F.coalesce(text, F.lit(""))
     return {"th1": F.xxhash64(text), "th2": F.xxhash64(F.lit(1), text)}
 
 
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """cid, its candidate component cand, the component's number of blocks and the class's own block y."""
+    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(COORDS // ROWS)]))
+    bands = classes.select("cid", bands.alias("key"))
+    hubs = bands.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    members = materialise(bands.join(hubs, "key"), "members")
+    pairs = members.where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"), "c")
+    twos = _pairs_of_two(pairs.where("c = 2").select("a", "b").distinct(), classes, percent)
+    some = members.where(f"c > 2 AND c <= {CROWD}").select("key", "cid").join(classes.select("cid", "n", "sketch"), "cid")
+    edges = twos.union(_bucket_forests(some, percent)).union(pairs.where(f"c > {CROWD}").select("a", "b")).distinct()
+    cands = materialise(components(edges).withColumnRenamed("comp", "cand"), "cands")
+    blocks = cands.groupBy("cand").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return cands.join(blocks, "cand").withColumn("y", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+
+
+def _with_pivots(found: DataFrame) -> DataFrame:
+    """Every candidate in its own block y; about PIVOTS of a component of several blocks in all its blocks, to tie them together."""
+    pivot = F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("blocks") * BLOCK) < PIVOTS
+    others = found.where((F.col("blocks") > 1) & pivot).withColumnRenamed("y", "_y").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("y != _y")
+    return found.unionByName(others.drop("_y")).withColumns({"z": F.lit(0), "side": F.lit(0), "comp": F.col("cid")})
+
+
+def _crossings(wide: DataFrame) -> DataFrame:
+    """Where a candidate component of several blocks holds several groups: every block of it (side 0) with the classes
+    outside of its largest group, in blocks z of their own (side 1). Columns cand, y, z, side, cid, comp."""
+    sizes = wide.groupBy("cand", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cand").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("cand", F.col("m.comp").alias("most"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("zs")).where("zs > 0")
+    rows = wide.join(largest, "cand").withColumn("y", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    own = rows.select("cand", "y", F.explode(F.sequence(F.lit(0), F.col("zs") - 1)).alias("z"), F.lit(0).alias("side"), "cid", "comp")
+    minor = rows.where("comp != most").withColumn("z", F.pmod(F.xxhash64(F.lit(1), "cid"), "zs").cast("int"))
+    minor = minor.select("cand", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "z", F.lit(1).alias("side"), "cid", "comp")
+    return own.union(minor)
+
+
 def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, th1, th2 (of the text), n_shingles, component_id and cid (of the set; null if empty) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(text_keys(F.col("text")))
     feats = materialise(_features(docs, shingle), "features")
     text = F.min(F.struct("th1", "th2"))
-    classes = feats.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), text.alias("t"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.select("cid", "n", "first_id", "rows", "t.th1", "t.th2", "bands", "sketch"), "classes")
-
-    bands = classes.select("cid", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = materialise(bands.join(hubs, "key"), "members")
-    pairs = members.where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    tested = materialise(_close(pairs, classes, percent), "pairs")
-    links = materialise(_verify(tested, classes, docs, percent, shingle), "links")
+    classes = feats.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), text.alias("t"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.select("cid", "n", "first_id", "rows", "t.th1", "t.th2", "sketch"), "classes")
+    cands = _candidates(classes, percent)
+    found = materialise(cands.join(classes.select("cid", "th1", "th2", "sketch"), "cid"), "found")
+    texts = may_match(docs.select("th1", "th2", "text"), "th1", bitmap(found, F.col("th1"))).dropDuplicates(["th1", "th2"])  # copies of a text are as many as they like
+    found = materialise(found.join(texts, ["th1", "th2"]).select("cid", "cand", "blocks", "y", "sketch", "text"), "texts")
+
+    links = materialise(_links(_with_pivots(found), percent, shingle), "links")
     comps = components(links)
-    crowded = members.where("c > 2").select("key", "cid", "c")  # pairs in smaller buckets are tested
-    most = 16
-    while True:
-        rest = materialise(_rest(crowded, classes, comps, most, percent), "rest")
-        fresh = materialise(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if rest.where("more").isEmpty():
-                break
-            most = math.ceil(most * 8)
-            continue
-        new = materialise(_verify(fresh, classes, docs, percent, shingle), "links")
-        tested = tested.union(fresh)
-        if not new.isEmpty():
-            links = links.union(new)
-            comps = components(links)
+    wide = found.where("blocks > 1").select("cand", "cid", "blocks").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rest = _crossings(materialise(wide, "wide"))
+    if not rest.isEmpty():
+        rows = rest.join(found.select("cid", "sketch", "text"), "cid")
+        comps = components(links.union(materialise(_links(rows, percent, shingle), "links")))
     linked = classes.select("cid", "first_id", "rows").join(comps, "cid", "left").where("rows > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "cid"))
     named = linked.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     names = materialise(linked.join(named, "comp").select("cid", "comp", "component_id"), "names")
