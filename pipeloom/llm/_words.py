@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text taken at a time; longer texts are taken whole, hashed in pieces.
@@ -65,7 +66,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     """Slices of a batch of at most CHUNK bytes of text, one row at least."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0

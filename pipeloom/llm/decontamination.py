@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +109,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFr
                 order = np.argsort(doc, kind="stable")
                 own = np.searchsorted(doc[order], np.arange(b.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(fp[order].view(np.int64)))
-                texts = pc.if_else(pa.array(np.diff(own) > 0), b.column("text"), pa.scalar(None, b.column("text").type))
+                texts = b.column("text").take(pa.array(np.arange(b.num_rows), mask=np.diff(own) == 0))  # null where nothing is left
                 yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), lists, texts.cast(pa.string())], ["rid", "doc_id", "n_words", "fps", "text"])
 
     return docs.mapInArrow(run, "rid long, doc_id long, n_words long, fps array<long>, text string")
