@@ -26,7 +26,6 @@ named are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ._store import bitmap, in_bitmap, materialise
 from ._words import ALNUM, U, Words, chunks, grams, split, within
+from .near_dedup import text_keys
 
 SPAN, GRAM = 10, 5
 
@@ -147,7 +147,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """rid (row), doc_id, n_words, n_hit and ids of the items found, for every document."""
+    """rid (row), doc_id, n_words, n_hit and ids of the items found, for every document; th2 (of the text) where any are."""
     spark = documents.sparkSession
     classes = materialise(_items(benchmark), "items")
     lengths = [r["n"] for r in classes.where(F.col("n") < SPAN).select("n").distinct().collect()]  # 9 at most
@@ -158,7 +158,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = found.where(F.size("fps") > 0).select("rid", F.explode(F.array_distinct("fps")).alias("fp")).join(prints, "fp").select("rid", "cls").distinct()
     items = pairs.join(classes, "cls").groupBy("rid").agg(F.collect_list(F.struct("words", "ids")).alias("items"))
     checked = found.where(F.size("fps") > 0).select("rid", "text").join(items, "rid").mapInArrow(_verified, "rid long, n_hit long, ids array<string>")
-    out = found.select("rid", "doc_id", "n_words").join(checked, "rid", "left")
+    out = found.select("rid", "doc_id", "n_words", text_keys(F.col("text"))["th2"].alias("th2")).join(checked, "rid", "left")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
 
 
@@ -166,5 +166,9 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents that have no window of an item."""
+    keys = text_keys(F.col("text"))
+    # Equal texts have equal verdicts, so a text's hash finds them again.
+    found = contamination(documents.select(keys["th1"].alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_th1"), F.col("th2").alias("_th2")).distinct()
+    return documents.withColumns({"_th1": keys["th1"], "_th2": keys["th2"]}).join(found, ["_th1", "_th2"], "left_anti").select(*documents.columns)
