@@ -113,6 +113,8 @@ class TreeBuilder(HTMLParser):
             self.close_until({"p"}, {"table", "td", "th", "li", "div", "section", "article", "blockquote", "button"})
             if tag != "head":
                 self.close_until({"head"}, {"body"})
+        if tag == "table" and self.open[-1].tag in _TABLE:
+            self.close_until({"table"}, set())
         if tag in _CLOSES:
             self.close_until(*_CLOSES[tag])
         if tag in ("td", "th") and not self.inside("tr"):

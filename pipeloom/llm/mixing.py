@@ -142,7 +142,11 @@ def realise(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows of the mix itself: a row for each pass that takes words of a document, with the text if it is
     taken whole, else with the taken words joined by one space; n_chars follows the text."""
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    passes = F.array(*[F.transform("spans", lambda s, k=k: F.struct(s["lo"].alias("lo"), s[k].alias("hi"))) for k in ("hi1", "hi2")])
+
+    def taken_in(end: str) -> Column:
+        return F.transform("spans", lambda s: F.struct(s["lo"].alias("lo"), s[end].alias("hi")))
+
+    passes = F.array(taken_in("hi1"), taken_in("hi2"))
     out = mixed.where("taken > 0").withColumn("_pass", F.explode(passes)).withColumn("_taken", F.aggregate("_pass", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])).where("_taken > 0")
     part = F.array_join(F.flatten(F.transform(F.filter("_pass", lambda s: s["hi"] > s["lo"]), lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
     out = out.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(part))
