@@ -62,15 +62,16 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most CHUNK bytes of text, one row at least."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most limit (CHUNK) bytes of text, one row at least."""
     if not batch.num_rows:
         return
+    limit = limit or CHUNK
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -37,8 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words
 from ._store import bitmap, materialise, may_match
-from ._words import SPACED, U, chunks, grams, split, within
+from ._words import SPACED, U, chunks, grams, mix, split, within
 from .near_dedup import text_keys
 
 WINDOW = 35
@@ -48,11 +49,12 @@ MAX_BUCKETS = 1 << 16
 _DOCS = 1 << 15  # of a chunk, so that an index and a flag fit into 16 bits
 _FLAG = np.uint16(1 << 15)
 _PARTS = ("docs", "doc", "lo", "hi", "key", "key2", "hit_doc", "hit_lo", "hit_hi")
-_BLOB = "bucket int, " + ", ".join(f"{c} binary" for c in _PARTS)
+_BLOB = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _PARTS)
 
 
-def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batch):
+def _few(batch: pa.RecordBatch, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of a batch: the more buckets, the larger, up to four times, so that arrays stay long."""
+    for b in chunks(batch, limit=_words.CHUNK * min(4, max(1, n_buckets // 256))):
         for at in range(0, b.num_rows, _DOCS):
             yield b.slice(at, _DOCS)
 
@@ -68,8 +70,9 @@ def _packed(keys: np.ndarray, bucket: np.ndarray, n_buckets: int, doc: np.ndarra
     order = np.argsort(bucket, kind="stable")
     bucket, doc, flag, place = bucket[order], doc[order], flag[order], place[order]
     key = [k[order] for k in key]
+    chunk = int(mix(keys.view(U)).sum().view(np.int64))
     own = int(keys[0, 0].view(np.uint64) % np.uint64(n_buckets)) if len(hit[0]) else -1
-    rows: dict[str, list] = {c: [] for c in ("bucket", *_PARTS)}
+    rows: dict[str, list] = {c: [] for c in ("bucket", "chunk", *_PARTS)}
     for b in np.union1d(bucket, [own] if own >= 0 else []).astype(int):
         s = slice(*np.searchsorted(bucket, [b, b + 1]))
         hd, hp = hit if b == own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -77,9 +80,10 @@ def _packed(keys: np.ndarray, bucket: np.ndarray, n_buckets: int, doc: np.ndarra
         n = s.stop - s.start
         values = [keys[used], at[:n].astype(np.uint16) | (flag[s] * _FLAG), *_halves(place[s]), key[0][s], key[1][s] if len(key) > 1 else np.zeros(0, np.uint32), at[n:].astype(np.uint16), *_halves(hp)]
         rows["bucket"].append(b)
+        rows["chunk"].append(chunk)
         for c, v in zip(_PARTS, values, strict=True):
             rows[c].append(np.ascontiguousarray(v).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in _PARTS]], ["bucket", *_PARTS])
+    return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["chunk"], pa.int64()), *[pa.array(rows[c], pa.binary()) for c in _PARTS]], ["bucket", "chunk", *_PARTS])
 
 
 class _Unpacked:
@@ -88,7 +92,9 @@ class _Unpacked:
     def __init__(self, pdf: pd.DataFrame, columns: int, wide: bool) -> None:
         cat = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
         self.keys = cat("docs", np.int64).reshape(-1, columns)
-        base = np.cumsum([0, *[len(x) // (8 * columns) for x in pdf["docs"]]])[:-1]
+        self.chunk = pdf["chunk"].to_numpy()
+        self.base = np.cumsum([0, *[len(x) // (8 * columns) for x in pdf["docs"]]])
+        base = self.base[:-1]
         place = lambda d, lo, hi: (cat(d, np.uint16), cat(lo, np.uint16).astype(np.int64) | cat(hi, np.uint16).astype(np.int64) << 16, np.repeat(base, [len(x) // 2 for x in pdf[d]]))
         doc, self.place, at = place("doc", "lo", "hi")
         self.flag, self.doc = doc >= _FLAG, (doc & ~_FLAG).astype(np.int64) + at
@@ -97,13 +103,34 @@ class _Unpacked:
         self.key = cat("key", np.uint64 if wide else np.uint32)
         self.key2 = cat("key2", np.uint32)
 
-    def answer(self, hits: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Rows of keys, and for each the distinct places of its hits."""
+    def answer(self, hits: np.ndarray) -> pd.DataFrame:
+        """A row for each chunk with hits: the keys of its documents that have any, how many, and their places."""
         doc, place = np.concatenate([self.doc[hits], self.hit_doc]), np.concatenate([self.place[hits], self.hit_place])
         both = np.unique((doc << 32) | place)
-        doc, place = both >> 32, both & 0xFFFFFFFF
-        used, first = np.unique(doc, return_index=True)
-        return self.keys[used], np.split(place, first[1:]) if len(used) else []
+        doc, place = both >> 32, (both & 0xFFFFFFFF).astype(np.int32)
+        used, first, count = np.unique(doc, return_index=True, return_counts=True)
+        d, p = np.searchsorted(used, self.base), np.searchsorted(doc, self.base)
+        rows = [i for i in range(len(self.chunk)) if d[i] < d[i + 1]]
+        parts = {"docs": lambda i: self.keys[used[d[i] : d[i + 1]]], "counts": lambda i: count[d[i] : d[i + 1]].astype(np.int32), "places": lambda i: place[p[i] : p[i + 1]]}
+        return pd.DataFrame({"chunk": self.chunk[rows], **{c: pd.Series([f(i).tobytes() for i in rows], dtype=object) for c, f in parts.items()}})
+
+
+_ANSWER = "chunk long, docs binary, counts binary, places binary"
+
+
+def _merged(columns: int):
+    """The answers of all buckets to a chunk, as a row for each of its documents with hits."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(pdf["docs"]), np.int64).reshape(-1, columns)
+        doc = np.repeat(np.arange(len(keys)), np.frombuffer(b"".join(pdf["counts"]), np.int32))
+        known, number = np.unique(keys, axis=0, return_inverse=True)
+        both = np.unique((number.reshape(-1)[doc] << 32) | np.frombuffer(b"".join(pdf["places"]), np.int32))
+        first = np.searchsorted(both >> 32, np.arange(1, len(known)))
+        places = np.split((both & 0xFFFFFFFF).astype(np.int32), first)
+        return pd.DataFrame({**{f"th{i + 1}": known[:, i] for i in range(columns)}, "places": pd.Series(places, dtype=object)})
+
+    return run
 
 
 def _groups(ordered: list[np.ndarray]) -> np.ndarray:
@@ -130,7 +157,7 @@ def _anchors(n_buckets: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _few(batch):
+            for b in _few(batch, n_buckets):
                 w = split(b.column("text"), SPACED)
                 long = np.repeat(np.diff(w.first) >= window, np.diff(w.first))
                 ok = within(w.first, size, len(w.hash))
@@ -163,8 +190,7 @@ def _probe(pdf: pd.DataFrame) -> pd.DataFrame:
         hits = (blocks[at] == x.key) & (count[at] - x.flag > 0)
     else:
         hits = np.zeros(len(x.key), bool)
-    keys, cells = x.answer(hits)
-    return pd.DataFrame({"th1": keys[:, 0], "cells": pd.Series(cells, dtype=object)})
+    return x.answer(hits)
 
 
 def _windows(n_buckets: int, window: int):
@@ -172,7 +198,7 @@ def _windows(n_buckets: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _few(batch):
+            for b in _few(batch, n_buckets):
                 w = split(b.column("text"), SPACED)
                 n = len(w.hash)
                 if n < window:
@@ -213,8 +239,7 @@ def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
         group = _groups([x.key[order], x.key2[order]])
         again = (np.bincount(group) > 1) | (np.bincount(group, x.flag[order]) > 0)
         hits[order] = again[group]
-    keys, places = x.answer(hits & ~x.flag)
-    return pd.DataFrame({"th1": keys[:, 0], "th2": keys[:, 1], "places": pd.Series(places, dtype=object)})
+    return x.answer(hits & ~x.flag)
 
 
 def _sha(words: list[bytes]) -> str:
@@ -259,14 +284,15 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     info = materialise(docs.mapInArrow(_info, "doc_id long, th1 long, th2 long, n_words long, sha string"), "info")
     copies = materialise(info.groupBy("th1", "th2").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     anchors = docs.select("th1", "text").mapInArrow(_anchors(n_buckets, window), _BLOB)
-    cells = anchors.groupBy("bucket").applyInPandas(_probe, "th1 long, cells array<int>")
-    hits = cells.select("th1", F.explode("cells").alias("cell")).distinct().groupBy("th1").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    cells = anchors.groupBy("bucket").applyInPandas(_probe, _ANSWER).groupBy("chunk").applyInPandas(_merged(1), "th1 long, places array<int>")
+    # Copies of a text have the same cells in most chunks, so most of them go before the shuffle.
+    hits = cells.distinct().groupBy("th1").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("cells"))
     hits = materialise(hits, "hits")
     texts = may_match(docs.select("th1", "th2", "text"), "th1", bitmap(hits, F.col("th1"))).dropDuplicates(["th1", "th2"])
     texts = texts.join(hits, "th1").join(copies, ["th1", "th2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     texts = materialise(texts.select("th1", "th2", "copies", "cells", "text"), "texts")
-    found = texts.mapInArrow(_windows(n_buckets, window), _BLOB).groupBy("bucket").applyInPandas(_recurring, "th1 long, th2 long, places array<int>")
-    found = found.groupBy("th1", "th2").agg(F.flatten(F.collect_list("places")).alias("places"))  # as many as the text has words
+    found = texts.mapInArrow(_windows(n_buckets, window), _BLOB).groupBy("bucket").applyInPandas(_recurring, _ANSWER)
+    found = found.groupBy("chunk").applyInPandas(_merged(2), "th1 long, th2 long, places array<int>")  # a text is in one chunk
     cut = found.join(texts.where("copies = 1").select("th1", "th2", "text"), ["th1", "th2"])
     return info.join(copies, ["th1", "th2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))), cut
 
