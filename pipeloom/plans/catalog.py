@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import collections as C
-from ..functions import misc, numbers, temporal, text
+from ..functions import compat, misc, numbers, temporal, text
 from ..operators import aggregates, changes, joins, matching, recursion, sets, sorting, windows
-from ..sources import files
+from ..sources import files, tables
 from ..streaming import windows as event_windows
 from .pipe import Pipe
 
@@ -655,3 +655,70 @@ def analytics_market_share(t: Tables) -> Pipe:
 def analytics_order_distribution(t: Tables) -> Pipe:
     made = t.pipe("orders").aggregate("count(*) AS n", group_by="o_custkey").df
     return t.pipe("customer").join(made, "c_custkey = o_custkey", "left").aggregate("count(*) AS customers", group_by="coalesce(n, 0) AS orders_made")
+
+
+# Semantics of other engines, tables and sessions
+
+
+@query("""SELECT c_custkey, round(log(c_custkey), 8) AS lg, concat(c_mktsegment, NULL, '!') AS cc, regexp_replace(c_name, '[0-9]', 'x') AS first_only, dayofweek(DATE '1998-01-01' + CAST(c_custkey % 50 AS INTEGER))::BIGINT AS dow, len(string_split(c_name, '.'))::BIGINT AS parts, CAST(c_acctbal AS BIGINT) AS rounded FROM customer WHERE c_custkey > 0 AND c_acctbal * 2 <> round(c_acctbal * 2)""")
+def compat_duckdb(t: Tables) -> DataFrame:
+    f, c = (lambda n: compat.function("duckdb", n)), F.col
+    day = F.date_add(F.lit("1998-01-01").cast("date"), (c("c_custkey") % 50).cast("int"))
+    df = t.customer.where("c_custkey > 0 AND c_acctbal * 2 <> round(c_acctbal * 2)")
+    return df.select("c_custkey", F.round(f("log")(c("c_custkey")), 8).alias("lg"), f("concat")(c("c_mktsegment"), F.lit(None), F.lit("!")).alias("cc"), f("regexp_replace")(c("c_name"), "[0-9]", "x").alias("first_only"), f("dayofweek")(day).cast("long").alias("dow"), F.size(f("split")(c("c_name"), ".")).cast("long").alias("parts"), compat.cast_rounding(c("c_acctbal"), "long").alias("rounded"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE greatest(n_nationkey, n_regionkey, 3) END AS g, isodow(DATE '2024-01-01' + n_nationkey) AS dow FROM nation")
+def compat_trino(t: Tables) -> DataFrame:
+    some = F.when(F.col("n_nationkey") % 5 != 0, F.lit(3))
+    return t.nation.select("n_nationkey", compat.function("trino", "greatest")(F.col("n_nationkey"), F.col("n_regionkey"), some).alias("g"), compat.function("trino", "day_of_week")(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey"))).cast("long").alias("dow"))
+
+
+@query("""SELECT 's_suppkey' AS "column", count(*) AS n, count(*) - count(s_suppkey) AS nulls, CAST(min(s_suppkey) AS VARCHAR) AS least FROM supplier UNION ALL SELECT 's_name', count(*), count(*) - count(s_name), min(s_name) FROM supplier""")
+def table_summary(t: Tables) -> DataFrame:
+    return tables.summarize(t.supplier.select("s_suppkey", "s_name")).select("column", "n", "nulls", "least")
+
+
+@query("SELECT p_partkey, p_retailprice * 1.1 AS taxed FROM part WHERE p_size < 10")
+def table_function_macro(t: Tables) -> DataFrame:
+    tables.create_function(t.spark, "with_tax", {"x": "DOUBLE", "rate": "DOUBLE"}, "DOUBLE", "x * (1 + rate)")
+    return t.spark.sql("SELECT p_partkey, with_tax(p_retailprice, 0.1) AS taxed FROM {p} WHERE p_size < 10", p=t.part)
+
+
+ORACLES["table_function_macro"] = "SELECT p_partkey, p_retailprice * (1 + 0.1::DOUBLE) AS taxed FROM part WHERE p_size < 10"
+
+
+@query("SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def join_hinted(t: Tables) -> DataFrame:
+    return tables.hinted(t.region, "merge").join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name")
+
+
+@query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 100)")
+def sample_rows(t: Tables) -> DataFrame:
+    return tables.sample_rows(t.orders.select("o_orderkey"), 100).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 200000")
+def sort_distribute_by(t: Tables) -> DataFrame:
+    return tables.distribute_by(t.orders.where("o_totalprice > 200000").select("o_custkey", "o_orderkey"), "o_custkey", sort=["o_custkey", "o_orderkey"])
+
+
+@query("""SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(string_split(lower(text), ' ')) AS w) WHERE w = 'the')::BIGINT AS the, len(text)::BIGINT AS chars, text LIKE '%the%' AS has, md5(text) AS digest, left(text, 10) AS head, right(text, 5) AS tail FROM documents""")
+def documents_text_profile(t: Tables) -> DataFrame:
+    words = F.split(F.lower("text"), " ", -1)
+    return t.documents.select("doc_id", F.size(F.filter(words, lambda w: w == "the")).cast("long").alias("the"), F.length("text").cast("long").alias("chars"), F.col("text").like("%the%").alias("has"), F.md5("text").alias("digest"), F.left("text", F.lit(10)).alias("head"), F.right("text", F.lit(5)).alias("tail"))
+
+
+@query("""SELECT source, count(*) AS docs, count(DISTINCT lang) AS langs, round(avg(n_chars), 4) AS chars, round(avg(quality), 6) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
+def documents_by_source(t: Tables) -> Pipe:
+    return t.pipe("documents").join(t.labels, ["doc_id"], "left").aggregate("count(*) AS docs", "count(DISTINCT lang) AS langs", "round(avg(n_chars), 4) AS chars", "round(avg(quality), 6) AS quality", group_by="source")
+
+
+@query("""SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, max(turn) AS last_turn, sum(len(text))::BIGINT AS chars FROM conversations GROUP BY ALL""")
+def conversations_rollup(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(aggregates.list_agg("role", ">", "turn").alias("roles"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY ALL HAVING count(*) > 1""")
+def events_profile(t: Tables) -> Pipe:
+    return t.pipe("events").aggregate("count(*) AS n", "round(sum(value), 4) AS total", "min(ts) AS first_ts", "max(ts) AS last_ts", group_by=["user_id", "event_type"]).where("n > 1")
