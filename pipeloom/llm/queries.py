@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, html_text, language_id, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
 from ._store import materialise
+from .oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -59,4 +60,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_html_extraction, op4_sharding, op5_quality_rules, op6_decontamination, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_lm_scoring)}
 
-ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE, "op5_quality_rules": quality.ORACLE}
+__all__ = ["ORACLES", "QUERIES"]
