@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.pipe import Expr, column
 
@@ -77,9 +78,12 @@ def list_agg(value: str, delimiter: str, order: str, distinct: bool = False, des
     return F.array_join(F.transform(F.sort_array(pairs, not descending), lambda x: x["v"]), delimiter)
 
 
-def top_k(value: str, order: str, k: int) -> Column:
-    """The values of the k rows of greatest order, ties by value."""
-    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))), False), 1, k), lambda x: x["v"])
+def top_k(df: DataFrame, by: Sequence[str], value: str, order: str, k: int, name: str = "top") -> DataFrame:
+    """For each group the values of its k rows of greatest order (ties by greatest value), as an array. Tasks keep k rows
+    of a group before the shuffle, and no more are gathered."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc_nulls_last(), F.col(value).desc_nulls_last())
+    best = df.select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= k)
+    return best.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias(name))
 
 
 def sample_skewness(x: str) -> Column:

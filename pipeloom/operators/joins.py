@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.spool import written
+
 
 def _prefixed(df: DataFrame, columns: Sequence[str], suffix: str, taken: set[str]) -> dict[str, str]:
     return {c: f"{c}{suffix}" if c.lower() in taken else c for c in columns}
@@ -53,7 +55,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "n", parts: int =
     """Row numbers from 1 in a total order, without a single-partition window: rows are dealt by range, counted by part,
     and numbered in each part. The rows of equal order keys lie in one part."""
     at = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    at = at.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    at = written(at.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))  # ranges are sampled, so once only
     sizes = at.groupBy("_part").count()  # as many rows as parts
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
     return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")

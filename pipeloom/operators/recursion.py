@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df through a table in the checkpoint folder, so that lineage doesn't grow from level to level."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeloom-")
-    path = f"{at.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.spool import written
 
 
 def connect_by(df: DataFrame, key: str, parent: str, start_with: str, max_depth: int = 1000, separator: str = "/") -> DataFrame:

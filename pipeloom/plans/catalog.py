@@ -345,7 +345,7 @@ def agg_entropy(t: Tables) -> DataFrame:
 
 @query("SELECT c_nationkey, array_to_string(list_transform(list_slice(list(c_custkey ORDER BY c_acctbal DESC, c_custkey DESC), 1, 3), lambda x: CAST(x AS VARCHAR)), ',') AS top FROM customer GROUP BY ALL")
 def agg_top_k(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_nationkey").agg(aggregates.top_k("c_custkey", "c_acctbal", 3).alias("k")).select("c_nationkey", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("top"))
+    return aggregates.top_k(t.customer, ["c_nationkey"], "c_custkey", "c_acctbal", 3, "k").select("c_nationkey", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("top"))
 
 
 # Windows and ordering
