@@ -722,3 +722,55 @@ def conversations_rollup(t: Tables) -> DataFrame:
 @query("""SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY ALL HAVING count(*) > 1""")
 def events_profile(t: Tables) -> Pipe:
     return t.pipe("events").aggregate("count(*) AS n", "round(sum(value), 4) AS total", "min(ts) AS first_ts", "max(ts) AS last_ts", group_by=["user_id", "event_type"]).where("n > 1")
+
+
+# Spark's own functions, several a query
+
+
+@query("""SELECT c_custkey, upper(c_mktsegment) AS a, lower(c_mktsegment) AS b, trim('  ' || c_name || ' ') AS c, repeat('ab', c_nationkey % 3) AS d, replace(c_name, '#', '-') AS e, position('o' IN c_name)::BIGINT AS f, substring(c_name, 3, 4) AS g, split_part(c_name, '#', 1) AS h, hex(c_mktsegment) AS i, sha256(c_name) AS j, to_base64(encode(c_mktsegment)) AS k, ascii(c_mktsegment)::BIGINT AS l, chr(65 + c_nationkey) AS m, rpad(c_mktsegment, 12, '.') AS n, ends_with(c_name, '1') AS o, contains(c_name, '10') AS p, sha1(c_name) AS q, bit_length(c_name)::BIGINT AS r, strlen(c_name)::BIGINT AS s FROM customer""")
+def builtin_strings(t: Tables) -> Pipe:
+    return t.pipe("customer").select("c_custkey", "upper(c_mktsegment) AS a", "lower(c_mktsegment) AS b", "trim('  ' || c_name || ' ') AS c", "repeat('ab', c_nationkey % 3) AS d", "replace(c_name, '#', '-') AS e", "bigint(position('o', c_name)) AS f", "substring(c_name, 3, 4) AS g", "split_part(c_name, '#', 1) AS h", "hex(c_mktsegment) AS i", "sha2(c_name, 256) AS j", "base64(encode(c_mktsegment, 'UTF-8')) AS k", "bigint(ascii(c_mktsegment)) AS l", "char(65 + c_nationkey) AS m", "rpad(c_mktsegment, 12, '.') AS n", "endswith(c_name, '1') AS o", "contains(c_name, '10') AS p", "sha1(c_name) AS q", "bigint(bit_length(c_name)) AS r", "bigint(octet_length(c_name)) AS s")
+
+
+@query(r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)[ .,]', 1) AS a, regexp_matches(text, 't.e') AS b, len(regexp_extract_all(text, '[aeiou]+'))::BIGINT AS c, regexp_replace(left(text, 60), '[^a-z]+', '_', 'g') AS d, len(string_split_regex(left(text, 80), '[ \n]+'))::BIGINT AS e, text ILIKE '%THE%' AS f FROM documents""")
+def builtin_regex(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.documents.select("doc_id", F.regexp_extract(c, "([A-Za-z]+)[ .,]", 1).alias("a"), F.regexp_like(c, F.lit("t.e")).alias("b"), F.regexp_count(c, F.lit("[aeiou]+")).cast("long").alias("c"), F.regexp_replace(F.left(c, F.lit(60)), "[^a-z]+", "_").alias("d"), F.size(F.split(F.left(c, F.lit(80)), "[ \n]+", -1)).cast("long").alias("e"), c.ilike("%THE%").alias("f"))
+
+
+@query("""SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS b, CAST(floor(p_retailprice) AS BIGINT) AS c, round(sqrt(p_retailprice), 8) AS d, round(cbrt(p_retailprice), 8) AS e, round(exp(p_size / 50.0), 8) AS f, round(ln(p_retailprice), 8) AS g, round(pow(p_size, 1.5), 6) AS h, round(sin(p_size) + cos(p_size) + atan(p_size), 8) AS i, round(degrees(p_size / 10.0), 6) AS j, round(radians(p_size), 8) AS k, CAST(sign(p_size - 25) AS DOUBLE) AS l, p_size % 7 AS m, factorial(p_size % 10)::BIGINT AS n, p_size & 6 AS p, p_size | 8 AS q, xor(p_size, 5) AS r, p_size << 2 AS s, bit_count(p_size)::BIGINT AS t, round(atan2(p_size, 3), 8) AS u, round(tanh(p_size / 20.0), 8) AS v FROM part""")
+def builtin_math(t: Tables) -> Pipe:
+    return t.pipe("part").select("p_partkey", "abs(p_size - 25) AS a", "ceil(p_retailprice) AS b", "floor(p_retailprice) AS c", "round(sqrt(p_retailprice), 8) AS d", "round(cbrt(p_retailprice), 8) AS e", "round(exp(p_size / 50D), 8) AS f", "round(ln(p_retailprice), 8) AS g", "round(pow(p_size, 1.5D), 6) AS h", "round(sin(p_size) + cos(p_size) + atan(p_size), 8) AS i", "round(degrees(p_size / 10D), 6) AS j", "round(radians(p_size), 8) AS k", "sign(p_size - 25) AS l", "p_size % 7 AS m", "factorial(p_size % 10) AS n", "p_size & 6 AS p", "p_size | 8 AS q", "p_size ^ 5 AS r", "shiftleft(p_size, 2) AS s", "bigint(bit_count(p_size)) AS t", "round(atan2(p_size, 3), 8) AS u", "round(tanh(p_size / 20D), 8) AS v")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10 AS a, CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS DATE) AS b, dayofyear(o_orderdate) AS c, day(o_orderdate) AS d, hour(o_orderdate) AS e, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS f, make_date(year(o_orderdate), 6, 1) AS g, epoch(o_orderdate)::BIGINT AS h, strftime(o_orderdate, '%d/%m/%Y') AS i, date_trunc('month', o_orderdate) AS j, dayname(o_orderdate) AS k, monthname(o_orderdate) AS l, o_orderdate + INTERVAL 90 MINUTE AS m, CAST(strptime('1998-01-02 03:04:05', '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS n FROM orders""")
+def builtin_dates(t: Tables) -> Pipe:
+    return t.pipe("orders").select("o_orderkey", "date_add(date(o_orderdate), 10) AS a", "add_months(date(o_orderdate), 2) AS b", "bigint(dayofyear(o_orderdate)) AS c", "bigint(day(o_orderdate)) AS d", "bigint(hour(o_orderdate)) AS e", "bigint(datediff(DATE '2000-01-01', o_orderdate)) AS f", "make_date(year(o_orderdate), 6, 1) AS g", "unix_seconds(timestamp(o_orderdate)) AS h", "date_format(o_orderdate, 'dd/MM/yyyy') AS i", "CAST(date_trunc('MONTH', o_orderdate) AS TIMESTAMP_NTZ) AS j", "date_format(o_orderdate, 'EEEE') AS k", "date_format(o_orderdate, 'MMMM') AS l", "o_orderdate + INTERVAL 90 MINUTES AS m", "to_timestamp_ntz('1998-01-02 03:04:05', 'yyyy-MM-dd HH:mm:ss') AS n")
+
+
+@query("""SELECT user_id, list_contains(k, 'click') AS a, len(k)::BIGINT AS b, array_to_string(list_sort(k), ',') AS c, array_to_string(list_reverse_sort(k), ',') AS d, coalesce(list_position(list_sort(k), 'view'), 0)::BIGINT AS e, array_to_string(list_sort(list_intersect(k, ['click', 'view'])), ',') AS f, list_has_any(k, ['view', 'zzz']) AS g, array_to_string(list_sort(list_distinct(list_concat(k, ['click', 'new']))), ',') AS h, array_to_string(flatten([list_sort(k), ['x']]), ',') AS i, list_max(k) AS j, list_min(k) AS l, array_to_string(list_sort(k)[1:2], ',') AS m, array_to_string(list_transform(list_sort(k), lambda x: upper(x)), ',') AS n, len(list_filter(k, lambda x: x > 'd'))::BIGINT AS o FROM (SELECT user_id, list_distinct(list(event_type)) AS k FROM events GROUP BY ALL)""")
+def builtin_arrays(t: Tables) -> Pipe:
+    k = t.pipe("events").aggregate("sort_array(collect_set(event_type)) AS k", group_by="user_id")
+    return k.select("user_id", "array_contains(k, 'click') AS a", "bigint(size(k)) AS b", "array_join(k, ',') AS c", "array_join(sort_array(k, false), ',') AS d", "array_position(k, 'view') AS e", "array_join(array_sort(array_intersect(k, array('click', 'view'))), ',') AS f", "arrays_overlap(k, array('view', 'zzz')) AS g", "array_join(array_sort(array_union(k, array('click', 'new'))), ',') AS h", "array_join(flatten(array(k, array('x'))), ',') AS i", "array_max(k) AS j", "array_min(k) AS l", "array_join(slice(k, 1, 2), ',') AS m", "array_join(transform(k, x -> upper(x)), ',') AS n", "bigint(size(filter(k, x -> x > 'd'))) AS o")
+
+
+@query("""SELECT event_type, array_to_string(list_transform(list_sort(map_keys(m)), lambda x: CAST(x AS VARCHAR)), ',') AS keys, CAST(list_sum(map_values(m)) AS BIGINT) AS total, m[1] AS one, len(map_entries(m))::BIGINT AS n FROM (SELECT event_type, map_from_entries(list((b, n))) AS m FROM (SELECT event_type, CAST(hour(ts) % 4 AS INTEGER) AS b, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL)""")
+def builtin_maps(t: Tables) -> Pipe:
+    m = t.pipe("events").aggregate("count(*) AS n", group_by=["event_type", "hour(ts) % 4 AS b"]).aggregate("map_from_entries(collect_list(struct(b, n))) AS m", group_by="event_type")
+    return m.select("event_type", "array_join(transform(array_sort(map_keys(m)), x -> string(x)), ',') AS keys", "aggregate(map_values(m), 0L, (a, x) -> a + x) AS total", "try_element_at(m, 1) AS one", "bigint(size(map_entries(m))) AS n")
+
+
+@query("""SELECT event_id, json_extract_string(j, '$.t') AS t, CAST(json_extract_string(j, '$.v.x') AS BIGINT) AS x, json_array_length(j, '$.a')::BIGINT AS n, json_extract_string(j, '$.a[1]') AS second FROM (SELECT event_id, '{"t":"' || event_type || '","v":{"x":' || user_id || '},"a":[1,' || event_id || ']}' AS j FROM events)""")
+def builtin_json(t: Tables) -> Pipe:
+    j = t.pipe("events").select("event_id", """to_json(named_struct('t', event_type, 'v', named_struct('x', user_id), 'a', array(1L, event_id))) AS j""")
+    return j.select("event_id", "get_json_object(j, '$.t') AS t", "bigint(get_json_object(j, '$.v.x')) AS x", "bigint(json_array_length(get_json_object(j, '$.a'))) AS n", "variant_get(parse_json(j), '$.a[1]', 'string') AS second")
+
+
+@query("""SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS d, round(sum(c_acctbal), 2) AS s, round(avg(c_acctbal), 6) AS m, min(c_acctbal) AS lo, max(c_acctbal) AS hi, round(stddev_pop(c_acctbal), 6) AS sd, round(median(c_acctbal), 6) AS med, any_value(c_nationkey) AS av, bool_and(c_acctbal > -1000) AS ba, count_if(c_acctbal < 0)::BIGINT AS ci, round(quantile_disc(c_acctbal, 0.25), 6) AS qd FROM customer GROUP BY ALL""")
+def builtin_aggregates(t: Tables) -> Pipe:
+    return t.pipe("customer").aggregate("count(*) AS n", "count(DISTINCT c_mktsegment) AS d", "round(sum(c_acctbal), 2) AS s", "round(avg(c_acctbal), 6) AS m", "min(c_acctbal) AS lo", "max(c_acctbal) AS hi", "round(stddev_pop(c_acctbal), 6) AS sd", "round(median(c_acctbal), 6) AS med", "any_value(c_nationkey) AS av", "bool_and(c_acctbal > -1000) AS ba", "count_if(c_acctbal < 0) AS ci", "round(percentile_disc(0.25) WITHIN GROUP (ORDER BY c_acctbal), 6) AS qd", group_by="c_nationkey")
+
+
+@query("""SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, len(html)::BIGINT AS size, html LIKE '%<table%' AS has_table, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS paragraphs FROM pages""")
+def builtin_urls(t: Tables) -> DataFrame:
+    return t.pages.select("url", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.length("html").cast("long").alias("size"), F.col("html").like("%<table%").alias("has_table"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"))
