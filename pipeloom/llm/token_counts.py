@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 _END = "</w>"
 _STATES, _WORDS = 400_000, 500_000
+PIECE = 16_384  # words of a chunk
 #: The pattern of the vocabulary file, and the same for ASCII texts.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -212,7 +213,9 @@ def counter(path: str) -> _Counts:
 
 def n_tokens(text: str, counts: _Counts) -> int:
     words, specials = counts.machine.pieces(text)
-    return specials + sum(map(counts.__getitem__, words))
+    # A word's end leads back to the start state 0, so that is the only state in the map of a chunk of whole words.
+    maps = [{0: (0, sum(map(counts.__getitem__, words[i : i + PIECE])))} for i in range(0, len(words), PIECE)]
+    return specials + (scan(maps)[-1][0][1] if maps else 0)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
