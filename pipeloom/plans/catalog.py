@@ -774,3 +774,46 @@ def builtin_aggregates(t: Tables) -> Pipe:
 @query("""SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, len(html)::BIGINT AS size, html LIKE '%<table%' AS has_table, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS paragraphs FROM pages""")
 def builtin_urls(t: Tables) -> DataFrame:
     return t.pages.select("url", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.length("html").cast("long").alias("size"), F.col("html").like("%<table%").alias("has_table"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"))
+
+
+# SQL that Spark has itself, and streams
+
+
+@query("SELECT n_nationkey, w, pos FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w, CAST(generate_subscripts(string_split(n_name, ' '), 1) - 1 AS INTEGER) AS pos FROM nation)")
+def sql_lateral_view(t: Tables) -> DataFrame:
+    return t.spark.sql("SELECT n_nationkey, w, pos FROM {n} LATERAL VIEW posexplode(split(n_name, ' ')) x AS pos, w", n=t.nation)
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS p FROM orders GROUP BY ALL ORDER BY ALL")
+def sql_group_by_all(t: Tables) -> DataFrame:
+    return t.spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS p FROM {o} GROUP BY ALL ORDER BY ALL", o=t.orders)
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def sql_named_windows(t: Tables) -> DataFrame:
+    return t.spark.sql("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM {o} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", o=t.orders)
+
+
+@query("WITH big AS (SELECT * FROM orders WHERE o_totalprice > 250000), who AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY ALL) SELECT c_custkey, c_name, n FROM who JOIN customer ON c_custkey = o_custkey WHERE n >= 2 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def sql_ctes(t: Tables) -> DataFrame:
+    return t.spark.sql("WITH big AS (SELECT * FROM {o} WHERE o_totalprice > 250000), who AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY ALL) SELECT c_custkey, c_name, n FROM who JOIN {c} ON c_custkey = o_custkey WHERE n >= 2 AND c_nationkey IN (SELECT n_nationkey FROM {n} WHERE n_regionkey < 3)", o=t.orders, c=t.customer, n=t.nation)
+
+
+@query("SELECT o_custkey, (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey) AS top, count(*) AS n FROM orders o GROUP BY ALL")
+def sql_correlated_scalar(t: Tables) -> DataFrame:
+    files.register(t.spark, t.sf_dir, "orders")
+    return t.spark.sql("SELECT o_custkey, any_value(top) AS top, count(*) AS n FROM (SELECT o_custkey, (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey) AS top FROM orders o) GROUP BY o_custkey")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(t: Tables) -> DataFrame:
+    schema = t.events.schema
+    stream = files.stream(t.spark, f"{t.sf_dir}/event*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = event_windows.run_to_table(event_windows.windowed(stream, "ts", "1 day", F.count("*").alias("n"), by=["event_type"]), "stream_tumbling_result")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicated(t: Tables) -> DataFrame:
+    stream = files.stream(t.spark, f"{t.sf_dir}/event*.parquet", t.events.schema).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    return event_windows.run_to_table(stream, "stream_deduplicated_result", "append")

@@ -45,3 +45,10 @@ def gap_filled(df: DataFrame, ts: str, width: str, by: Sequence[str], value: Col
     if fill == "locf":
         return out.withColumn(name, F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     return out
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now into an in-memory table, for results that fit the driver."""
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
