@@ -5,8 +5,8 @@ ends at the next block, a list item at the next, cells and rows at theirs, and s
 and a renderer walks the tree and writes all visible text: blocks on lines of their own,
 paragraphs and headings apart by an empty line, list items with a bullet or a number and
 indented by depth, tables with cells aligned in columns, preformatted text as it is.
-Invisible are: the head but for nothing, scripts, styles, templates, comments, elements
-with ``hidden``, ``aria-hidden="true"``, ``type="hidden"``, or an inline style of
+Invisible are: the head, scripts, styles, templates, comments, embedded objects and media,
+drop-down lists, elements with ``hidden``, ``aria-hidden="true"``, ``type="hidden"``, or an inline style of
 ``display: none`` or ``visibility: hidden``.
 
 The tree is built and walked without recursion but for tables within tables, NESTED deep.
