@@ -51,7 +51,8 @@ def order_all(df: DataFrame, descending: bool = False) -> DataFrame:
 
 def with_fill(df: DataFrame, key: str, start: Column, stop: Column, step: Column, by: Sequence[str] = (), interpolate: Sequence[str] = ()) -> DataFrame:
     """ORDER BY key WITH FILL FROM start TO stop (excluded) STEP step, for each ``by``: missing keys become rows; the
-    columns of ``interpolate`` carry their last value into them, others are null."""
+    columns of ``interpolate`` carry their last value into them (within each ``by``; without any, in one task), others are
+    null."""
     heads = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     spine = heads.select(*by, F.explode(F.sequence(start, stop, step)).alias(key)).where(F.col(key) < stop)
     out = spine.join(df, [*by, key], "full")
