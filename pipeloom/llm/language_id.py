@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +56,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, count): n = 0 for words; counts are partial."""
+    """(number of the language, n, gram, count): n = 0 for words; counts are partial."""
 
     def flush() -> pa.RecordBatch:
-        counts: dict[tuple[str, int], Counter] = {}
+        counts: dict[tuple[int, int], Counter] = {}
         for lang, found in by_lang.items():
             counts[lang, 0] = found
             for n in range(1, LONGEST + 1):
@@ -69,11 +70,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang.clear()
         rows = [(lang, n, g, c) for (lang, n), found in counts.items() for g, c in found.items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "gram", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["number", "n", "gram", "c"])
 
-    by_lang: dict[str, Counter] = {}
+    by_lang: dict[int, Counter] = {}
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for lang, text in zip(b.column("number").to_pylist(), b.column("text").to_pylist(), strict=True):
             by_lang.setdefault(lang, Counter()).update(words(text))
         if sum(map(len, by_lang.values())) > _CACHE:
             yield flush()
@@ -81,18 +82,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, langs: list[str], grams: dict[str, int], logs: np.ndarray) -> None:
-        self.langs, self.grams, self.logs = langs, grams, logs  # grams: 'n gram' to a row of logs
+    def __init__(self, langs: list[str], grams: list[dict[str, int]], logs: np.ndarray) -> None:
+        self.langs, self.grams, self.logs = langs, grams, logs  # grams: for words (0) and n-grams, rows of logs
 
-    def vector(self, word: str) -> np.ndarray:
-        at = self.grams.get(f"0 {word}")
+    def rows(self, word: str) -> list[int]:
+        """Rows whose mean scores a word: its own, else those of its longest known n-grams; none if it has none."""
+        at = self.grams[0].get(word)
         if at is not None:
-            return self.logs[at]
+            return [at]
         for n in range(LONGEST, 0, -1):
-            known = [i for g in ngrams(word, n) if (i := self.grams.get(f"{n} {g}")) is not None]
-            if known:
-                return self.logs[known].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+            known = self.grams[n]
+            found = [known[g] for g in ngrams(word, n) if g in known]
+            if found:
+                return found
+        return []
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -102,21 +105,22 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = [r["lang"] for r in sizes]
     if not langs:
-        return Model([], {}, np.zeros((0, 0), np.float32))
-    share = documents.sparkSession.createDataFrame([(r["lang"], min(1 << 20, -(-(sample_docs << 20) // r["count"]))) for r in sizes], "lang string, share long")
+        return Model([], [{}] * (LONGEST + 1), np.zeros((0, 0), np.float32))
+    share = documents.sparkSession.createDataFrame([(r["lang"], i, min(1 << 20, -(-(sample_docs << 20) // r["count"]))) for i, r in enumerate(sizes)], "lang string, number int, share long")
     sample = labelled.select("lang", "text", "doc_id").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.col("share"))
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    rows = materialise(counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")), "grams")
-    grams: dict[str, int] = {}
-    logs = []
+    counted = sample.select("number", "text").mapInArrow(_count, "number int, n int, gram string, c long").groupBy("number", "n", "gram").agg(F.sum("c").alias("c"))
+    rows = materialise(counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list("number").alias("numbers"), F.collect_list("c").alias("counts")), "grams")
+    grams: list[dict[str, int]] = []
+    logs, at = [], 0
     for n in range(LONGEST + 1):
-        top = rows.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(WORDS if n == 0 else NGRAMS).collect()
-        found = np.zeros((len(top), len(langs)))
-        for i, r in enumerate(top):
-            grams[f"{n} {r['gram']}"] = len(grams)
-            for x in r["by"]:
-                found[i, langs.index(x["lang"])] = x["c"]
-        logs.append(np.log((found + 0.5) / (found.sum(0) + 0.5 * max(1, len(top)))))
+        top = rows.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(WORDS if n == 0 else NGRAMS).select("gram", "numbers", "counts").toArrow().combine_chunks()
+        k = top.num_rows
+        numbers, counts = (top.column(c).combine_chunks() if k else pa.array([], pa.list_(pa.int64())) for c in ("numbers", "counts"))
+        found = np.zeros((k, len(langs)))
+        found[np.repeat(np.arange(k), pc.list_value_length(numbers).to_numpy()), numbers.flatten().to_numpy()] = counts.flatten().to_numpy()
+        grams.append({g: at + i for i, g in enumerate(top.column("gram").to_pylist())})
+        at += k
+        logs.append(np.log((found + 0.5) / (found.sum(0) + 0.5 * max(1, k))))
     return Model(langs, grams, np.concatenate(logs).astype(np.float32))
 
 
@@ -127,12 +131,22 @@ class _Vectors(dict):
         super().__init__()
         self.model, self.rows = model, np.zeros((1024, len(model.langs)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.vector(word)
-        return at
+    def of(self, found: Counter) -> list[int]:
+        """Rows of a text's words; those of new words are made together."""
+        new = [w for w in found if w not in self]
+        if new:
+            at = len(self)
+            self.update(zip(new, range(at, at + len(new)), strict=True))
+            while len(self) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            lists = [self.model.rows(w) for w in new]
+            n = np.array([len(x) for x in lists])
+            some = np.flatnonzero(n)
+            if len(some):
+                begin = (np.cumsum(n) - n)[some]
+                sums = np.add.reduceat(self.model.logs[[i for x in lists for i in x]], begin, axis=0)
+                self.rows[at + some] = sums / n[some, None]
+        return [self[w] for w in found]
 
 
 def predict(documents: DataFrame, model: Model, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -152,7 +166,7 @@ def predict(documents: DataFrame, model: Model, pred_col: str = "lang_pred", sco
                     continue
                 if len(vectors) > _CACHE:
                     vectors = _Vectors(shared.value)
-                at = [vectors[w] for w in found]
+                at = vectors.of(found)
                 total = np.fromiter(found.values(), np.float64, len(found)) @ vectors.rows[at]
                 best = int(total.argmax())
                 pred.append(langs[best]), score.append(float(1 / np.exp(total - total[best]).sum()))

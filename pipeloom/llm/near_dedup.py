@@ -229,21 +229,55 @@ def _links(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(cid, comp) of every node with an edge (a, b): comp is the least node that it reaches.
 
-    Rounds of large-star and small-star; each ends in a written table."""
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(pairs)
+    Rounds of large-star and small-star, one shuffle each; a round ends in a written table. A node's edges come sorted, so
+    its least neighbour comes first and they stream by: no task holds the edges of a node."""
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     while True:
-        both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        pairs = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u != v").distinct(), "edges")
-        after = mark(pairs)
-        if after == before:
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = _star(pairs.where("u != v").select(ways.alias("e")).select("e.u", "e.v"), True)
+        pairs = materialise(_star(large, False), "edges")
+        # Done when every node hangs on one that hangs on none.
+        roles = F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"))))
+        nodes = pairs.select(roles.alias("r")).groupBy("r.n").agg(F.sum("r.up").alias("up"), F.min("r.up").alias("least"))
+        if nodes.where("up > 1 OR up = 1 AND least = 0").isEmpty():
             return pairs.select(F.col("u").alias("cid"), F.col("v").alias("comp")).union(pairs.select("v", "v").distinct())
-        before = after
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Large-star: for each u the neighbours v above it go to m, the least of u and its neighbours.
+    Small-star (all v below u): u and its neighbours go to m, their least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, bytes, bytes] | None = None  # u, m and v of the row before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), "V16") for c in ("u", "v"))
+            new = np.ones(len(u), bool)
+            new[1:] = u[1:] != u[:-1]
+            fresh = np.ones(len(u), bool)
+            fresh[1:] = new[1:] | (v[1:] != v[:-1])
+            if last is not None and u[0].tobytes() == last[0]:
+                new[0], fresh[0] = False, v[0].tobytes() != last[2]
+            first = np.flatnonzero(new)
+            least = np.where(_above(u, v), v, u) if large else v
+            m = np.concatenate([np.array([last[1] if last else b"\0" * 16], "V16"), least[first]])[np.cumsum(new)]
+            last = (u[-1].tobytes(), m[-1].tobytes(), v[-1].tobytes())
+            if large:
+                at = np.flatnonzero(fresh & _above(v, u))
+                x, y = v[at], m[at]
+            else:
+                at = np.flatnonzero(fresh & ~new)
+                x, y = np.concatenate([u[first], v[at]]), np.concatenate([m[first], m[at]])
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(c), [None, pa.py_buffer(c.tobytes())]).cast(pa.binary()) for c in (x, y)], ["u", "v"])
+
+    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u binary, v binary")
+
+
+def _above(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x > y as bytes."""
+    a, b = (np.frombuffer(z.tobytes(), ">u8").reshape(-1, 2) for z in (x, y))
+    return (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
 
 
 def text_keys(text: Column) -> dict[str, Column]:
