@@ -4,11 +4,12 @@
    of the mix's specification (a weight each); MAX_SOURCES bounds it.
 2. Targets: the sources share ``budget`` times all words by weight; none may pass
    ``max_repeats`` times its own words; what is above goes to the others by weight.
-3. Each source is dealt into shards of about SHARD_WORDS words by a seeded hash.
-   A shard's words, in a seeded order of its documents, form blocks of BLOCK words.
-   The source's quota of blocks goes to its shards by highest quotients
-   (size / (2 s + 1) for the next block after s); what is left of the target, less
-   than a block but for shards already taken whole, fills shards in order.
+3. All blocks of BLOCK words that the targets make up go to the sources by highest
+   quotients (target / (2 s + 1) for the next block after s). Each source is dealt
+   into shards of about SHARD_WORDS words by a seeded hash; a shard's words, in a seeded
+   order of its documents, form blocks. The source's blocks go to its shards by highest
+   quotients of their sizes, which gives each shard its integer quota. What rounding
+   to blocks leaves to the target, or puts above it, is then added to shards in order.
 4. In each shard, blocks come in a seeded permutation; the quota takes them in this
    order, and a second time from the start where it is above the shard's words.
    So no document is taken more than twice with the default max_repeats = 2.
@@ -78,13 +79,14 @@ def sainte_lague(size: np.ndarray, most: np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
-def shard_quotas(size: np.ndarray, words: int, block: int, max_repeats: int) -> np.ndarray:
-    """Words that each shard of a source gives: whole blocks, then the rest in order."""
+def shard_quotas(size: np.ndarray, blocks: int, words: int, block: int, max_repeats: int) -> np.ndarray:
+    """Words that each shard of a source gives: its share of the blocks, and what they lack or have above words, in order."""
     most = max_repeats * size
-    out = sainte_lague(size, most // block, words // block) * block if size.sum() else np.zeros(len(size), np.int64)
-    room = most - out
+    out = sainte_lague(size, most // block, blocks) * block if size.sum() else np.zeros(len(size), np.int64)
+    rest = words - int(out.sum())
+    room = most - out if rest > 0 else out
     before = np.cumsum(room) - room
-    return out + np.clip(words - out.sum() - before, 0, room)
+    return out + np.sign(rest) * np.clip(abs(rest) - before, 0, room)
 
 
 def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, max_repeats: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 1, key: str = "doc_id", size: Column | None = None) -> DataFrame:
@@ -98,8 +100,9 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5,
     stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
     source_sizes = [r["n"] for r in stats]
     goal = targets(source_sizes, [weights[i % len(weights)] for i in range(len(stats))], budget, max_repeats)
-    rows = [(r["source"], int(n), float(t), int(min(round(t), max_repeats * n)), int(min(MAX_SHARDS, max(1, -(-n // shard_words))))) for r, n, t in zip(stats, source_sizes, goal, strict=True)]
-    sources = df.sparkSession.createDataFrame(rows, "_source string, source_size long, target double, _words long, _shards int")
+    seats = sainte_lague(goal, np.ceil(goal / block), int(goal.sum() // block)) if goal.sum() > 0 else np.zeros(len(goal), np.int64)
+    rows = [(r["source"], int(n), float(t), int(k), int(min(round(t), max_repeats * n)), int(min(MAX_SHARDS, max(1, -(-n // shard_words))))) for r, n, t, k in zip(stats, source_sizes, goal, seats, strict=True)]
+    sources = df.sparkSession.createDataFrame(rows, "_source string, source_size long, target double, _blocks long, _words long, _shards int")
     hashed = lambda *cols: F.xxhash64(F.lit(seed), *cols)
     dealt = (
         sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")))  # MAX_SOURCES rows at most
@@ -109,9 +112,9 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5,
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_shard")
-        return pd.DataFrame({"_source": pdf["_source"], "_shard": pdf["_shard"], "_quota": shard_quotas(pdf["_n"].to_numpy(np.int64), int(pdf["_words"].iloc[0]), block, max_repeats), "_n": pdf["_n"]})
+        return pd.DataFrame({"_source": pdf["_source"], "_shard": pdf["_shard"], "_quota": shard_quotas(pdf["_n"].to_numpy(np.int64), int(pdf["_blocks"].iloc[0]), int(pdf["_words"].iloc[0]), block, max_repeats), "_n": pdf["_n"]})
 
-    cells = dealt.groupBy("_source", "_shards", "_words", "_shard").agg(F.sum("size").alias("_n"))  # MAX_SHARDS rows a source at most
+    cells = dealt.groupBy("_source", "_shards", "_blocks", "_words", "_shard").agg(F.sum("size").alias("_n"))  # MAX_SHARDS rows a source at most
     quota = cells.groupBy("_source").applyInPandas(quotas, "_source string, _shard int, _quota long, _n long")
     # The window's order has equal rows only where documents agree in key and size: they are alike.
     w = Window.partitionBy("_source", "_shard").orderBy("_order", key, "size")

@@ -47,6 +47,16 @@ def test_sainte_lague_equals_one_seat_at_a_time():
             assert sorted(size / (2 * got + 1)) == pytest.approx(sorted(size / (2 * want + 1)))
 
 
+def test_quotas_of_shards_meet_the_words_by_whole_blocks():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size, block = rng.integers(0, 40, rng.integers(1, 6)), int(rng.integers(1, 9))
+        words = int(rng.integers(0, 2 * size.sum() + 1))
+        for blocks in (words // block, -(-words // block)):
+            got = mixing.shard_quotas(size, blocks, words, block, 2)
+            assert got.sum() == words and (got >= 0).all() and (got <= 2 * size).all()
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [3, 1, 2], 1.5, 2).tolist() == pytest.approx([20.0, 8.3333333, 16.6666667])
     assert mixing.targets([0, 0], [3, 1], 1.5, 2).tolist() == [0, 0] and mixing.targets([], [], 1.5, 2).tolist() == []
