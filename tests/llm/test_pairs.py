@@ -159,3 +159,15 @@ def test_substring_dedup(spark, monkeypatch, window, chunk):
 
 def test_substring_dedup_empty(spark):
     assert substring_dedup.digest(substring_dedup.remove(documents(spark, ODD).limit(0))).count() == 0
+
+
+def test_pipeline_stage_takes_five_words(spark):
+    """Scattered edits that leave 0.8 of the four-word shingles but not of the five-word ones keep both texts."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"v{i}" for i in range(300)]
+    edited = [f"new{i}" if i % 37 == 20 else w for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(edited), *noisy(5)]
+    four, five = brute_groups(texts[:2]), brute_groups(texts[:2], 5)
+    assert not four[1][3] and five[1][3]
+    kept = [i for i, n, _, first in brute_groups(texts, 5) if first or not n]
+    assert [r[0] for r in sorted(pipeline.drop_near_copies(spark, documents(spark, texts), "").select("doc_id").collect())] == kept
