@@ -474,6 +474,14 @@ def recursive_connect_by(t: Tables) -> DataFrame:
     return recursion.connect_by(tree, "id", "parent", "parent IS NULL").select("id", "level", "path")
 
 
+@query("""WITH RECURSIVE tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
+h AS (SELECT id, 1 AS level, CAST(id AS VARCHAR) AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, h.level + 1, h.path || '/' || t.id FROM tree t JOIN h ON t.parent = h.id) SELECT * FROM h""")
+def recursive_connect_by_all(t: Tables) -> DataFrame:
+    """The hierarchy over all parts."""
+    tree = t.part.selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 1 THEN p_partkey DIV 2 END AS parent")
+    return recursion.connect_by(tree, "id", "parent", "parent IS NULL").select("id", "level", "path")
+
+
 @query("WITH RECURSIVE c AS (SELECT 1 AS n, 1 AS f UNION ALL SELECT n + 1, f * (n + 1) FROM c WHERE n < 10) SELECT * FROM c")
 def recursive_cte(t: Tables) -> DataFrame:
     return t.spark.sql("WITH RECURSIVE c(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM c WHERE n < 10) SELECT * FROM c")
@@ -518,6 +526,25 @@ def change_upsert(t: Tables) -> DataFrame:
     return changes.upsert(old, t.nation.where("n_nationkey < 10").selectExpr("n_nationkey AS k", "upper(n_name) AS name"), ["k"])
 
 
+@query("""WITH s AS (SELECT o_custkey AS k, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders GROUP BY ALL)
+SELECT c_custkey AS k, CASE WHEN s.k IS NULL THEN CAST(c_acctbal AS DECIMAL(18, 2)) ELSE c_acctbal::DECIMAL(18, 2) + s.v END::DOUBLE AS v FROM customer LEFT JOIN s ON c_custkey = s.k WHERE s.v IS NULL OR s.v <= 2000000
+UNION ALL SELECT k, v::DOUBLE FROM s WHERE k NOT IN (SELECT c_custkey FROM customer)""")
+def change_merge_all(t: Tables) -> DataFrame:
+    """Aggregated orders merged into the whole customer table."""
+    target = t.customer.selectExpr("c_custkey AS k", "CAST(c_acctbal AS DECIMAL(18, 2)) AS v")
+    source = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.expr("sum(CAST(o_totalprice AS DECIMAL(18, 2)))").alias("v"))
+    clauses = [changes.Matched(None, "s.v > 2000000"), changes.Matched({"v": "t.v + s.v"})]
+    return changes.merge(target, source, ["k"], clauses, {"k": "s.k", "v": "s.v"}).withColumn("v", F.col("v").cast("double"))
+
+
+@query("""SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def change_upsert_all(t: Tables) -> DataFrame:
+    """Customers in debt upserted into the whole supplier table: updates and inserts."""
+    old = t.supplier.selectExpr("s_suppkey AS k", "s_name AS name")
+    return changes.upsert(old, t.customer.where("c_acctbal < 0").selectExpr("c_custkey AS k", "c_name AS name"), ["k"])
+
+
 # Event time
 
 
