@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spool import written
 from .numbers import cosine_distance, dot_product, euclidean_distance, manhattan_distance
 
 
@@ -85,13 +87,17 @@ DISTANCES = {"cosine": cosine_distance, "euclidean": euclidean_distance, "manhat
 
 
 def vector_search(base: DataFrame, queries: DataFrame, vector: str, base_id: str, query_id: str, k: int, distance: str = "cosine", max_queries: int = 10_000) -> DataFrame:
-    """The k nearest base rows of each query, exactly. The queries (at most max_queries) are broadcast to the base's tasks;
-    each task keeps the best k of a query before rows are shuffled."""
+    """The k nearest base rows of each query, exactly. The queries are broadcast to the base's tasks, in blocks of about
+    max_queries by a hash of their ids where there are more; a block is one pass over the base. Each task keeps the best
+    k of a query before rows are shuffled."""
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
-    if q.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    near = base.crossJoin(F.broadcast(q)).select("query_id", F.col(base_id).alias("match_id"), DISTANCES[distance](F.col(vector), F.col("_q")).alias("distance"))
-    return top_matches(near, k)
+    near = lambda q: base.crossJoin(F.broadcast(q)).select("query_id", F.col(base_id).alias("match_id"), DISTANCES[distance](F.col(vector), F.col("_q")).alias("distance"))
+    blocks = -(-q.count() // max_queries)
+    if blocks <= 1:
+        return top_matches(near(q), k)
+    q = written(q, "queries")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return functools.reduce(DataFrame.union, [top_matches(near(q.where(block == i)), k) for i in range(blocks)])
 
 
 def top_matches(near: DataFrame, k: int) -> DataFrame:

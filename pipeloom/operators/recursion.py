@@ -11,16 +11,19 @@ from ..sources.spool import written
 def connect_by(df: DataFrame, key: str, parent: str, start_with: str, max_depth: int = 1000, separator: str = "/") -> DataFrame:
     """START WITH ... CONNECT BY PRIOR key = parent: df's columns with level, path, root and is_cycle.
 
-    One join a level; a row that is on its own path already is marked and not gone into (NOCYCLE)."""
+    One join a level; a row that is on its own path already is marked and not gone into (NOCYCLE).
+    Rows below max_depth levels are an error."""
     k = F.col(key)
     level = df.where(start_with).withColumns({"level": F.lit(1), "path": F.array(k.cast("string")), "root": k, "is_cycle": F.lit(False)})
     out = level
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 2):
         up = level.where("NOT is_cycle").select(F.col(key).alias("_p"), F.col("path").alias("_path"), F.col("root").alias("_root"))
         level = df.join(up, df[parent] == up["_p"]).withColumns({"level": F.lit(depth), "is_cycle": F.array_contains("_path", k.cast("string")), "path": F.concat("_path", F.array(k.cast("string"))), "root": F.col("_root")}).select(*out.columns)
         level = written(level)
         if level.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"more than {max_depth} levels")
         out = out.unionByName(level)
     return out.withColumn("path", F.array_join("path", separator))
 
@@ -40,13 +43,15 @@ def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def recursive(seed: DataFrame, step, max_depth: int = 1000, distinct: bool = False) -> DataFrame:  # noqa: ANN001
-    """WITH RECURSIVE: seed UNION [ALL] step(last level) until a level is empty."""
+    """WITH RECURSIVE: seed UNION [ALL] step(last level) until a level is empty; an error after max_depth steps that gave rows."""
     level = written(seed)
     out = level
-    for _ in range(max_depth):
+    for i in range(max_depth + 1):
         level = step(level).toDF(*out.columns)
         level = written(level.distinct().join(out, out.columns, "left_anti") if distinct else level)
         if level.isEmpty():
             break
+        if i == max_depth:
+            raise ValueError(f"more than {max_depth} steps")
         out = out.union(level)
     return out

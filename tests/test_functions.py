@@ -98,3 +98,10 @@ def test_dependencies(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1, 3, 4)], "k int, z int, u int")
     found = shape.dependencies(lambda a, b: a.join(b, a["x"] == b["k"]).selectExpr("x", "y + z AS s"), {"a": a, "b": b})
     assert found["s"] == ["a.x", "a.y", "b.k", "b.z"] and "b.u" not in found["s"]
+
+
+def test_vector_search_takes_more_queries_than_a_block(spark):
+    base = spark.createDataFrame([(i, [float(i * i % 23), float(i)]) for i in range(40)], "id int, v array<double>")
+    queries = base.where("id < 25").unionByName(spark.createDataFrame([(None, [1.0, 2.0])], base.schema))
+    found = lambda n: sorted(map(tuple, misc.vector_search(base, queries, "v", "id", "id", 3, "euclidean", n).collect()), key=str)
+    assert len(found(100)) == 26 * 3 and found(4) == found(100)

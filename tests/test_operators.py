@@ -84,6 +84,17 @@ def test_hierarchy_with_cycle(spark):
     assert got(steps) == [(0,), (1,), (2,), (3,)]
 
 
+def test_recursion_depth_is_no_silent_cut(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(4)], "id int, up int")
+    assert recursion.connect_by(chain, "id", "up", "up IS NULL", max_depth=4).count() == 4
+    with pytest.raises(ValueError, match="3 levels"):
+        recursion.connect_by(chain, "id", "up", "up IS NULL", max_depth=3)
+    step = lambda d: d.selectExpr("id + 1").where("`(id + 1)` < 4")
+    assert got(recursion.recursive(spark.range(1), step, max_depth=3)) == [(0,), (1,), (2,), (3,)]
+    with pytest.raises(ValueError, match="2 steps"):
+        recursion.recursive(spark.range(1), step, max_depth=2)
+
+
 def test_match_positions(spark):
     df = spark.createDataFrame([(1, i, c) for i, c in enumerate("abbxabx")], "p int, i int, c string")
     out = matching.match_recognize(df, ["p"], ["i"], {"A": "c = 'a'", "B": "c = 'b'"}, "AB+", {"lo": ("first", "i", ""), "hi": ("last", "i", ""), "bs": ("count", "", "B")})
