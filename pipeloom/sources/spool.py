@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "spool") -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a local one where it is unset): lineage ends here,
-    rows stay as they are however often they are read, and lost executors lose none."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the one that spark.checkpoint.dir names (a local one where it is unset)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="pipeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "spool") -> DataFrame:
+    """df as a table in the cluster's shared folder: lineage ends here,
+    rows stay as they are however often they are read, and lost executors lose none."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spool import folder
+
 
 def date_bin(ts: str, width: str, slide: str | None = None) -> Column:
     """The start of the tumbling (or sliding) window of a time."""
@@ -48,7 +50,20 @@ def gap_filled(df: DataFrame, ts: str, width: str, by: Sequence[str], value: Col
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now into an in-memory table, for results that fit the driver."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now and read its result as a table, also a view of that name.
+
+    Each batch is written as Parquet in the cluster's shared folder, beside the checkpoint; only paths reach the driver.
+    In complete mode the last batch is the result, else all are. A batch that runs again replaces its own rows."""
+    spark = stream.sparkSession
+    at = folder(spark, name)
+    paths: dict[int, str] = {}
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch-{i}")
+        paths[i] = f"{at}/batch-{i}"
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    found = [paths[max(paths)]] if paths and mode == "complete" else list(paths.values())
+    out = spark.read.schema(stream.schema).parquet(*found) if found else spark.createDataFrame([], stream.schema)
+    out.createOrReplaceTempView(name)
+    return out

@@ -142,3 +142,18 @@ def test_gap_fill_and_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("w").collect()) == [1, 2]
+
+
+def test_stream_results_stand_in_shared_files(spark, tmp_path):
+    event = lambda *ks: spark.createDataFrame([(k, i) for i, k in enumerate(ks)], "k int, i int").coalesce(1)
+    event(1, 1, 2).write.parquet(str(tmp_path / "e"))
+    event(2, 3).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("k int, i int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    counts = event_windows.run_to_table(stream.groupBy("k").agg(F.count("*").alias("n")), "stream_counts")
+    keys = event_windows.run_to_table(stream.select("k").dropDuplicates(["k"]), "stream_keys", "append")
+    assert got(counts) == [(1, 2), (2, 2), (3, 1)] and got(keys) == [(1,), (2,), (3,)] == got(spark.table("stream_keys"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert all(f.removeprefix("file://").startswith(shared) for x in (counts, keys) for f in x.inputFiles())
+    assert counts.inputFiles() and keys.inputFiles()
+    (tmp_path / "none").mkdir()
+    assert event_windows.run_to_table(spark.readStream.schema("k int").parquet(str(tmp_path / "none")), "stream_none", "append").count() == 0
