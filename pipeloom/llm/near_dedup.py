@@ -13,7 +13,7 @@ fewer words, the whole sequence as one). Documents with
 3. Bands of ROWS coordinates: classes that share a band share a bucket. With 32
    bands of 4 a pair at 0.8 is missed with a chance of 5e-8.
 4. Candidates: in each bucket the classes whose sizes fit and whose sketches agree in
-   LEAST of the coordinates or more (4.5 standard deviations below 0.8) are joined by
+   LEAST of the coordinates or more (a pair at 0.8 fails that with a chance of 1e-8) are joined by
    a spanning forest, not by all pairs; buckets above CROWD hang on one hub instead.
    Components of these edges (large-star / small-star rounds) hold every link.
 5. Exact verification: the classes of a candidate component meet in blocks of about
@@ -21,7 +21,8 @@ fewer words, the whole sequence as one). Documents with
    first, and only between classes not yet connected, so a block gives a spanning forest
    of its links and stops early. Where a component of several blocks still holds more
    than one group, the classes outside of its largest group are compared with every
-   block too. So no link is lost, no pair list is made and no task holds a whole group.
+   block too. So no link between candidates is lost (besides those below LEAST), no pair list is made and no task holds
+   a whole group.
 
 Texts are shuffled only for candidates, once each.
 
@@ -46,7 +47,7 @@ from ._words import SPACED, U, chunks, grams, mix, numbers, split
 
 SHINGLE, PERCENT = 4, 80
 COORDS, ROWS = 128, 4
-LEAST = 0.64
+LEAST = 0.58
 BLOCK, CROWD, PIVOTS = 384, 1024, 48
 _SEEDS = numbers(2 * COORDS, 7)
 _FULL = U(0xFFFFFFFFFFFFFFFF)

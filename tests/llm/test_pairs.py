@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -171,3 +172,10 @@ def test_pipeline_stage_takes_five_words(spark):
     assert not four[1][3] and five[1][3]
     kept = [i for i, n, _, first in brute_groups(texts, 5) if first or not n]
     assert [r[0] for r in sorted(pipeline.drop_near_copies(spark, documents(spark, texts), "").select("doc_id").collect())] == kept
+
+
+def test_sketches_miss_less_than_bands():
+    """Of pairs at 0.8: the chance to agree in fewer coordinates than LEAST asks for, and to share no band."""
+    least = math.ceil(near_dedup.LEAST * near_dedup.COORDS)
+    below = sum(math.comb(near_dedup.COORDS, i) * 0.8**i * 0.2 ** (near_dedup.COORDS - i) for i in range(least))
+    assert below < (1 - 0.8**near_dedup.ROWS) ** (near_dedup.COORDS // near_dedup.ROWS)
