@@ -10,26 +10,31 @@ fewer words, the whole sequence as one). Documents with
    which the later rounds force. Coordinates of two sets agree with a chance equal
    to their similarity, and concentrate as independent ones do.
 2. Documents with equal sets are one class (128-bit hash of the set).
-3. Bands of ROWS coordinates: classes that share a band share a bucket. With 32
-   bands of 4 a pair at 0.8 is missed with a chance of 5e-8.
+3. Bands of ROWS coordinates: classes that share a band share a bucket; of buckets with the
+   same classes one is looked at.
 4. Candidates: in each bucket the classes whose sizes fit and whose sketches agree in
-   LEAST of the coordinates or more (a pair at 0.8 fails that with a chance of 1e-8) are joined by
-   a spanning forest, not by all pairs; buckets above CROWD hang on one hub instead.
-   Components of these edges (large-star / small-star rounds) hold every link.
+   LEAST of the coordinates or more are joined by a spanning forest, not by all pairs; buckets
+   above CROWD hang on one hub instead. Components of these edges hold every link between candidates.
 5. Exact verification: the classes of a candidate component meet in blocks of about
    BLOCK with their texts (some in all blocks of their component, as pivots); links are tried on the full sets, most similar sketches
    first, and only between classes not yet connected, so a block gives a spanning forest
    of its links and stops early. Where a component of several blocks still holds more
    than one group, the classes outside of its largest group are compared with every
-   block too. So no link between candidates is lost (besides those below LEAST), no pair list is made and no task holds
-   a whole group.
+   block too: work there grows with the product of the two, so a component with very many
+   similar classes that aren't linked is slow. No pair list is made and no task holds a whole group.
+
+Components are found by rounds of contraction: every node goes to its least neighbour (a minimum that
+is combined in tasks before the shuffle, so hubs are harmless), and edges between what is left go on.
+
+A pair at similarity 0.8 is missed with a chance of about 6e-8: 4.7e-8 by the bands (32 of 4) and 0.9e-8 by LEAST.
 
 Texts are shuffled only for candidates, once each.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; rows with equal sets, repeated rows included, are one group; a null doc_id
 never names a group unless all ids of the group are null; an empty table gives an
-empty table. Other columns are not looked at.
+empty table. Whole texts count, of any length: a text's shingles are hashed in one array in the task that
+reads it. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -117,20 +122,6 @@ def fitting(n: np.ndarray, s: np.ndarray, p: np.ndarray, q: np.ndarray, percent:
     return p[ok], q[ok], alike[ok]
 
 
-def _pairs_of_two(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates among pairs (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.num_rows
-            n = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()])
-            at, _, _ = fitting(n, np.concatenate([_matrix(b, "sa"), _matrix(b, "sb")]), np.arange(k), np.arange(k) + k, percent)
-            yield b.select(["a", "b"]).take(pa.array(at))
-
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
 def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of neighbouring rows that agree in columns, and the number of each row's group."""
     rest: list[pa.Table] = []
@@ -150,11 +141,11 @@ def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
 
 
 def _bucket_forests(rows: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges of the candidates in each bucket of CROWD classes at most."""
+    """Spanning edges of the candidates in each bucket of CROWD classes at most, as stars on their least class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _by_group(batches, ("key",)):
-            n, s = table.column("n").to_numpy(), _matrix(table, "sketch")
+            n, s, k = table.column("n").to_numpy(), _matrix(table, "sketch"), table.column("k").to_numpy()
             p, q = [], []
             for lag in range(1, int(np.bincount(group).max())):
                 at = np.flatnonzero(group[lag:] == group[:-lag])
@@ -173,10 +164,9 @@ def _bucket_forests(rows: DataFrame, percent: int) -> DataFrame:
                     if (label == before).all():
                         break
             at = np.flatnonzero(label != np.arange(len(label)))
-            cid = table.column("cid").combine_chunks()
-            yield pa.RecordBatch.from_arrays([cid.take(pa.array(label[at])), cid.take(pa.array(at))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[label[at]], pa.int64()), pa.array(k[at], pa.int64())], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return rows.select("key", "k", "n", "sketch").repartition("key").sortWithinPartitions("key", "k").mapInArrow(run, "a long, b long")
 
 
 def block_links(sets: list[np.ndarray], s: np.ndarray, comp: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -203,7 +193,7 @@ def block_links(sets: list[np.ndarray], s: np.ndarray, comp: np.ndarray, p: np.n
 
 
 def _links(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Spanning links (a, b) of each group (cand, y, z) of texts; pairs are those of two rows of side 0, or of one of each side."""
+    """Spanning links (a, b) between the groups comp of the texts in each (cand, y, z); pairs are those of two rows of side 0, or of one of each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _by_group(batches, ("cand", "y", "z")):
@@ -213,72 +203,44 @@ def _links(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 part = table.slice(lo, hi - lo).combine_chunks()
-                cids, side = part.column("cid").to_pylist(), part.column("side").to_numpy()
+                comps, side = part.column("comp").to_numpy(), part.column("side").to_numpy()
                 sets = shingle_sets(part.column("text").combine_chunks(), shingle)
-                names = {}
-                comp = np.array([names.setdefault(c, i) for i, c in enumerate(part.column("comp").to_pylist())])
+                comp = np.unique(comps, return_index=True)[1][np.unique(comps, return_inverse=True)[1]]  # first row of each row's group
                 p, q = np.triu_indices(hi - lo, 1)
                 ok = (comp[p] != comp[q]) & (side[p] != side[q]) if side.any() else comp[p] != comp[q]
                 for i, j in block_links(sets, _matrix(part, "sketch"), comp, p[ok], q[ok], percent):
-                    a.append(cids[i]), b.append(cids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    a.append(int(comps[i])), b.append(int(comps[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.select("cand", "y", "z", "side", "cid", "comp", "sketch", "text")
-    return rows.repartition("cand", "y", "z").sortWithinPartitions("cand", "y", "z").mapInArrow(run, "a binary, b binary")
+    rows = rows.select("cand", "y", "z", "side", "comp", "sketch", "text")
+    return rows.repartition("cand", "y", "z").sortWithinPartitions("cand", "y", "z").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, comp) of every node with an edge (a, b): comp is the least node that it reaches.
+    """(k, comp) of every node with an edge (a, b) to another one; comp is one node of its component.
 
-    Rounds of large-star and small-star, one shuffle each; a round ends in a written table. A node's edges come sorted, so
-    its least neighbour comes first and they stream by: no task holds the edges of a node."""
-    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    A round sends every node to the least of itself and its neighbours and keeps the edges that still join two nodes. Minima
+    are taken in the order of the numbers in the first rounds, which collapses stars on their least node at once, and then in
+    a hashed order, new each round, under which a constant share of the nodes goes, chains in order of their numbers included."""
+    left = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    maps: list[DataFrame] = []
     while True:
-        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = _star(pairs.where("u != v").select(ways.alias("e")).select("e.u", "e.v"), True)
-        pairs = materialise(_star(large, False), "edges")
-        # Done when every node hangs on one that hangs on none.
-        roles = F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"))))
-        nodes = pairs.select(roles.alias("r")).groupBy("r.n").agg(F.sum("r.up").alias("up"), F.min("r.up").alias("least"))
-        if nodes.where("up > 1 OR up = 1 AND least = 0").isEmpty():
-            return pairs.select(F.col("u").alias("cid"), F.col("v").alias("comp")).union(pairs.select("v", "v").distinct())
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large-star: for each u the neighbours v above it go to m, the least of u and its neighbours.
-    Small-star (all v below u): u and its neighbours go to m, their least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, bytes, bytes] | None = None  # u, m and v of the row before
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), "V16") for c in ("u", "v"))
-            new = np.ones(len(u), bool)
-            new[1:] = u[1:] != u[:-1]
-            fresh = np.ones(len(u), bool)
-            fresh[1:] = new[1:] | (v[1:] != v[:-1])
-            if last is not None and u[0].tobytes() == last[0]:
-                new[0], fresh[0] = False, v[0].tobytes() != last[2]
-            first = np.flatnonzero(new)
-            least = np.where(_above(u, v), v, u) if large else v
-            m = np.concatenate([np.array([last[1] if last else b"\0" * 16], "V16"), least[first]])[np.cumsum(new)]
-            last = (u[-1].tobytes(), m[-1].tobytes(), v[-1].tobytes())
-            if large:
-                at = np.flatnonzero(fresh & _above(v, u))
-                x, y = v[at], m[at]
-            else:
-                at = np.flatnonzero(fresh & ~new)
-                x, y = np.concatenate([u[first], v[at]]), np.concatenate([m[first], m[at]])
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(c), [None, pa.py_buffer(c.tobytes())]).cast(pa.binary()) for c in (x, y)], ["u", "v"])
-
-    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u binary, v binary")
-
-
-def _above(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x > y as bytes."""
-    a, b = (np.frombuffer(z.tobytes(), ">u8").reshape(-1, 2) for z in (x, y))
-    return (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+        left = materialise(left, "edges")
+        if maps and left.isEmpty():
+            break
+        hashed = len(maps) > 1
+        name = lambda c: F.struct(*[F.xxhash64(F.lit(len(maps)), c).alias("h")] * hashed, F.col(c).alias("k"))  # noqa: B023, E731
+        both = left.select("u", "v").union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min(name("v") if hashed else F.col("v")).alias("low"))
+        low = low.select(F.col("u").alias("k"), F.least(name("u"), F.col("low"))["k"].alias("comp") if hashed else F.least("u", "low").alias("comp"))
+        low = materialise(low, "low")
+        maps.append(low)
+        step = left.join(low.withColumnsRenamed({"k": "u", "comp": "x"}), "u").join(low.withColumnsRenamed({"k": "v", "comp": "y"}), "v").where("x != y")
+        left = step.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    out = maps[-1]
+    for low in reversed(maps[:-1]):
+        out = low.join(out.select(F.col("k").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("k", F.coalesce("next", "comp").alias("comp"))
+    return out
 
 
 def text_keys(text: Column) -> dict[str, Column]:
@@ -288,63 +250,67 @@ def text_keys(text: Column) -> dict[str, Column]:
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """cid, its candidate component cand, the component's number of blocks and the class's own block y."""
+    """k, its candidate component cand, the component's number of blocks and the class's own block y."""
     bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(COORDS // ROWS)]))
-    bands = classes.select("cid", bands.alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = materialise(bands.join(hubs, "key"), "members")
-    pairs = members.where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"), "c")
-    twos = _pairs_of_two(pairs.where("c = 2").select("a", "b").distinct(), classes, percent)
-    some = members.where(f"c > 2 AND c <= {CROWD}").select("key", "cid").join(classes.select("cid", "n", "sketch"), "cid")
-    edges = twos.union(_bucket_forests(some, percent)).union(pairs.where(f"c > {CROWD}").select("a", "b")).distinct()
-    cands = materialise(components(edges).withColumnRenamed("comp", "cand"), "cands")
+    bands = classes.select("k", bands.alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("k").alias("hub"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("all")).where("c > 1")
+    buckets = buckets.groupBy("hub", "c", "all").agg(F.min("key").alias("key")).drop("all")
+    members = materialise(bands.join(buckets, "key"), "members")
+    forests = _bucket_forests(members.where(f"c <= {CROWD}").select("key", "k").join(classes.select("k", "n", "sketch"), "k"), percent)
+    stars = members.where(f"c > {CROWD} AND k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b"))
+    cands = materialise(components(forests.union(stars)).withColumnRenamed("comp", "cand"), "cands")
     blocks = cands.groupBy("cand").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return cands.join(blocks, "cand").withColumn("y", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    return cands.join(blocks, "cand").withColumn("y", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
 
 
 def _with_pivots(found: DataFrame) -> DataFrame:
     """Every candidate in its own block y; about PIVOTS of a component of several blocks in all its blocks, to tie them together."""
-    pivot = F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("blocks") * BLOCK) < PIVOTS
-    others = found.where((F.col("blocks") > 1) & pivot).withColumnRenamed("y", "_y").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("y != _y")
-    return found.unionByName(others.drop("_y")).withColumns({"z": F.lit(0), "side": F.lit(0), "comp": F.col("cid")})
+    pivot = F.pmod(F.xxhash64(F.lit(2), "k"), F.col("blocks") * BLOCK) < PIVOTS
+    others = found.where((F.col("blocks") > 1) & pivot).withColumnRenamed("y", "own").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("y != own")
+    return found.unionByName(others.drop("own")).withColumns({"z": F.lit(0), "side": F.lit(0), "comp": F.col("k")})
 
 
-def _crossings(wide: DataFrame) -> DataFrame:
+def _crossings(wide: DataFrame) -> DataFrame | None:
     """Where a candidate component of several blocks holds several groups: every block of it (side 0) with the classes
-    outside of its largest group, in blocks z of their own (side 1). Columns cand, y, z, side, cid, comp."""
+    outside of its largest group, in blocks z of their own (side 1). Columns cand, y, z, side, k, comp; None if there is none."""
     sizes = wide.groupBy("cand", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cand").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("cand", F.col("m.comp").alias("most"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("zs")).where("zs > 0")
-    rows = wide.join(largest, "cand").withColumn("y", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    own = rows.select("cand", "y", F.explode(F.sequence(F.lit(0), F.col("zs") - 1)).alias("z"), F.lit(0).alias("side"), "cid", "comp")
-    minor = rows.where("comp != most").withColumn("z", F.pmod(F.xxhash64(F.lit(1), "cid"), "zs").cast("int"))
-    minor = minor.select("cand", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "z", F.lit(1).alias("side"), "cid", "comp")
+    largest = materialise(largest, "largest")
+    if largest.isEmpty():
+        return None
+    rows = wide.join(largest, "cand").withColumn("y", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    own = rows.select("cand", "y", F.explode(F.sequence(F.lit(0), F.col("zs") - 1)).alias("z"), F.lit(0).alias("side"), "k", "comp")
+    minor = rows.where("comp != most").withColumn("z", F.pmod(F.xxhash64(F.lit(1), "k"), "zs").cast("int"))
+    minor = minor.select("cand", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "z", F.lit(1).alias("side"), "k", "comp")
     return own.union(minor)
 
 
 def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th1, th2 (of the text), n_shingles, component_id and cid (of the set; null if empty) of every row."""
+    """doc_id, th1, th2 (of the text), n_shingles, component_id and group (a name of the component; null if the set is empty) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(text_keys(F.col("text")))
     feats = materialise(_features(docs, shingle), "features")
     text = F.min(F.struct("th1", "th2"))
     classes = feats.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), text.alias("t"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.select("cid", "n", "first_id", "rows", "t.th1", "t.th2", "sketch"), "classes")
+    # Written once, so the numbers stay as they are.
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("k"), "cid", "n", "first_id", "rows", "t.th1", "t.th2", "sketch"), "classes")
     cands = _candidates(classes, percent)
-    found = materialise(cands.join(classes.select("cid", "th1", "th2", "sketch"), "cid"), "found")
+    found = materialise(cands.join(classes.select("k", "th1", "th2", "sketch"), "k"), "found")
     texts = may_match(docs.select("th1", "th2", "text"), "th1", bitmap(found, F.col("th1"))).dropDuplicates(["th1", "th2"])  # copies of a text are as many as they like
-    found = materialise(found.join(texts, ["th1", "th2"]).select("cid", "cand", "blocks", "y", "sketch", "text"), "texts")
+    found = materialise(found.join(texts, ["th1", "th2"]).select("k", "cand", "blocks", "y", "sketch", "text"), "texts")
 
-    links = materialise(_links(_with_pivots(found), percent, shingle), "links")
-    comps = components(links)
-    wide = found.where("blocks > 1").select("cand", "cid", "blocks").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    comps = components(_links(_with_pivots(found), percent, shingle))
+    wide = found.where("blocks > 1").select("cand", "k", "blocks").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     rest = _crossings(materialise(wide, "wide"))
-    if not rest.isEmpty():
-        rows = rest.join(found.select("cid", "sketch", "text"), "cid")
-        comps = components(links.union(materialise(_links(rows, percent, shingle), "links")))
-    linked = classes.select("cid", "first_id", "rows").join(comps, "cid", "left").where("rows > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "cid"))
+    if rest is not None:
+        more = components(_links(rest.join(found.select("k", "sketch", "text"), "k"), percent, shingle)).select(F.col("k").alias("comp"), F.col("comp").alias("next"))
+        alone = more.select(F.col("comp").alias("k"), "comp").join(comps, "k", "left_anti")  # groups of one class so far
+        comps = comps.union(alone).join(more, "comp", "left").select("k", F.coalesce("next", "comp").alias("comp"))
+    linked = classes.select("k", "cid", "first_id", "rows").join(comps, "k", "left").where("rows > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "k"))
+    linked = materialise(linked, "linked")
     named = linked.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    names = materialise(linked.join(named, "comp").select("cid", "comp", "component_id"), "names")
+    names = linked.join(named, "comp").select("cid", "comp", "component_id")
     out = feats.select("doc_id", "th1", "th2", "n", "cid").join(names, "cid", "left")
-    return out.select("doc_id", "th1", "th2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "cid").alias("cid"))
+    return out.select("doc_id", "th1", "th2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("comp").cast("string"), F.hex("cid")).alias("group"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -352,13 +318,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, **how: int) -> DataFrame:
-    """The documents without near copies: one row of each group, that of the least doc_id, and all rows with an empty set."""
+    """The documents without near copies: one row of each group, that of the least doc_id, and all rows with an empty set.
+    All columns of documents come back as they are, whatever their names."""
     found = groups(documents, **how)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    last = F.col("doc_id").isNull()
-    stays = found.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct(last.alias("last"), "doc_id", "th1", "th2")).alias("s")).select(F.coalesce(F.col("s.doc_id").cast("string"), F.lit("null")).alias("_name"), "s.th1", "s.th2")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null")).alias("name")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th1", "th2"))
+    stays = found.where("group IS NOT NULL").groupBy("group").agg(first.alias("s")).select(name(F.col("s.doc_id")), "s.th1", "s.th2")
     keys = text_keys(F.col("text"))
-    own = documents.withColumns({"_name": name, "_th1": keys["th1"], "_th2": keys["th2"], "_blank": ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
-    stays = stays.withColumnsRenamed({"th1": "_th1", "th2": "_th2"})
-    kept = own.where("NOT _blank").join(stays, ["_name", "_th1", "_th2"], "left_semi").dropDuplicates(["_name", "_th1", "_th2"])
-    return kept.select(*documents.columns).union(own.where("_blank").select(*documents.columns))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = documents.select(F.struct("*").alias("row"), name(F.col("doc_id")), keys["th1"].alias("th1"), keys["th2"].alias("th2"), blank.alias("blank"))
+    kept = own.where("NOT blank").join(stays, ["name", "th1", "th2"], "left_semi").dropDuplicates(["name", "th1", "th2"])
+    return kept.select("row.*").union(own.where("blank").select("row.*"))
