@@ -15,12 +15,15 @@
    So no document is taken more than twice with the default max_repeats = 2.
 
 Nothing but the table of sources reaches the driver. A shard is the largest group
-that one task holds; a hot source is many shards.
+that one task holds; a hot source is many shards, at most MAX_SHARDS, so that one task can
+apportion them (from 2.1e9 words of a source on, its shards hold more than SHARD_WORDS).
 
 Defined results: a null text has no words; a null source is a source of its own,
 last in order; documents without words take none; rows with equal keys are
-separate documents; an empty table gives an empty table. Columns of the input
-stay, but one that bears a result's name is replaced.
+separate documents; an empty table gives an empty table. Texts of any length are taken whole:
+a document is cut into as many pieces as it has blocks. Columns of the input
+stay, but one that bears a result's name is replaced in ``mix``; ``realise`` gives all
+columns back as they were, besides the text and its length.
 """
 
 from __future__ import annotations
@@ -89,11 +92,18 @@ def shard_quotas(size: np.ndarray, blocks: int, words: int, block: int, max_repe
     return out + np.sign(rest) * np.clip(abs(rest) - before, 0, room)
 
 
-def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, max_repeats: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 1, key: str = "doc_id", size: Column | None = None) -> DataFrame:
-    """df with size, source_size, target, taken and, as ``spans``, the words [lo, hi) that each pass takes."""
-    results = ["size", "source_size", "target", "taken", "spans"]
-    kept = [c for c in df.columns if c not in results]
-    sized = df.select(*kept, (n_words(F.col("text")) if size is None else size).alias("size"))
+RESULTS = ("size", "source_size", "target", "taken", "spans")
+
+
+def mix(df: DataFrame, **how: object) -> DataFrame:
+    """df with size, source_size, target, taken and, as ``spans``, the words [lo, hi) that each pass takes; how: as for ``spread``."""
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in RESULTS]
+    return spread(df, **how).select(*kept, *RESULTS)
+
+
+def spread(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, max_repeats: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 1, key: str = "doc_id", size: Column | None = None) -> DataFrame:
+    """The rows of df, each as a struct ``row``, with the columns RESULTS."""
+    sized = df.select(F.struct("*").alias("row"), F.col("source"), F.col(key).alias("key"), (n_words(F.col("text")) if size is None else size).alias("size"))
     stats = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -106,7 +116,7 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5,
     hashed = lambda *cols: F.xxhash64(F.lit(seed), *cols)
     dealt = (
         sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")))  # MAX_SOURCES rows at most
-        .withColumn("_order", hashed(F.col(key), F.col("size")))
+        .withColumn("_order", hashed("key", "size"))
         .withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("_order")), F.col("_shards")).cast("int"))
     )
 
@@ -117,7 +127,7 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5,
     cells = dealt.groupBy("_source", "_shards", "_blocks", "_words", "_shard").agg(F.sum("size").alias("_n"))  # MAX_SHARDS rows a source at most
     quota = cells.groupBy("_source").applyInPandas(quotas, "_source string, _shard int, _quota long, _n long")
     # The window's order has equal rows only where documents agree in key and size: they are alike.
-    w = Window.partitionBy("_source", "_shard").orderBy("_order", key, "size")
+    w = Window.partitionBy("_source", "_shard").orderBy("_order", "key", "size")
     placed = dealt.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     joined = placed.join(quota.withColumnsRenamed({"_source": "_qs", "_shard": "_qh"}), F.col("_source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qh")))
 
@@ -138,21 +148,22 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5,
 
     spans = F.when(own > 0, F.transform(F.sequence(F.floor(begin / block).cast("long"), F.floor((end - 1) / block).cast("long")), span))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi1"] + s["hi2"] - 2 * s["lo"])
-    return joined.withColumn("spans", spans).select(*kept, "size", "source_size", "target", F.coalesce(taken, F.lit(0)).alias("taken"), "spans")
+    return joined.withColumn("spans", spans).select("row", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).alias("taken"), "spans")
 
 
-def realise(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def realise(documents: DataFrame, **how: object) -> DataFrame:
     """The rows of the mix itself: a row for each pass that takes words of a document, with the text if it is
-    taken whole, else with the taken words joined by one space; n_chars follows the text."""
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    taken whole, else with the taken words joined by one space; n_chars follows the text, where there is that column."""
+    text = F.col("row").getField("text")
+    words = F.regexp_extract_all(text, F.lit(WORD), 0)
 
     def taken_in(end: str) -> Column:
         return F.transform("spans", lambda s: F.struct(s["lo"].alias("lo"), s[end].alias("hi")))
 
-    passes = F.array(taken_in("hi1"), taken_in("hi2"))
-    out = mixed.where("taken > 0").withColumn("_pass", F.explode(passes)).withColumn("_taken", F.aggregate("_pass", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])).where("_taken > 0")
-    part = F.array_join(F.flatten(F.transform(F.filter("_pass", lambda s: s["hi"] > s["lo"]), lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    passes = F.explode(F.array(taken_in("hi1"), taken_in("hi2")))
+    count = F.aggregate("pass", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    out = spread(documents, **how).where("taken > 0").select("row", "size", passes.alias("pass")).withColumn("n", count).where("n > 0")
+    part = F.array_join(F.flatten(F.transform(F.filter("pass", lambda s: s["hi"] > s["lo"]), lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
+    out = out.select("row", F.when(F.col("n") == F.col("size"), text).otherwise(part).alias("cut"))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in documents.columns])
