@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bitmap, in_bitmap, materialise
+from ._store import bitmap, fresh, in_bitmap, materialise
 from ._words import ALNUM, U, Words, chunks, grams, split, within
 from .near_dedup import text_keys
 
@@ -167,8 +167,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents that have no window of an item."""
+    """The rows of documents that have no window of an item. All columns stay as they are."""
     keys = text_keys(F.col("text"))
+    names = fresh(documents, "th1", "th2")
     # Equal texts have equal verdicts, so a text's hash finds them again.
-    found = contamination(documents.select(keys["th1"].alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_th1"), F.col("th2").alias("_th2")).distinct()
-    return documents.withColumns({"_th1": keys["th1"], "_th2": keys["th2"]}).join(found, ["_th1", "_th2"], "left_anti").select(*documents.columns)
+    found = contamination(documents.select(keys["th1"].alias("doc_id"), "text"), benchmark).where("n_hit > 0")
+    found = found.select(F.col("doc_id").alias(names[0]), F.col("th2").alias(names[1])).distinct()
+    return documents.withColumns(dict(zip(names, keys.values(), strict=True))).join(found, names, "left_anti").drop(*names)
