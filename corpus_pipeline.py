@@ -1,7 +1,12 @@
 """From raw documents to shards of a training mix: language ID, near-dedup, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but
-the last return the columns of docs. Between stages run() writes Parquet in the shared folder and reads it again."""
+the last return the columns of docs. Between stages run() writes Parquet in the shared folder and reads it again.
+
+Defined results: a document whose text is null or has no letter goes at the first stage; texts count whole, however
+long; of repeated rows and of ties in doc_id one row stays at the second stage; an empty table gives an empty table; all
+columns of a row stay as they are, whatever their names, but for text and n_chars where the mix cuts a document, and for
+slot and shard, which the last stage sets."""
 
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's rows: a document is there once for each pass that takes words of it, cut to these where they aren't all."""
-    return mixing.realise(mixing.mix(docs), docs.columns)
+    return mixing.realise(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
