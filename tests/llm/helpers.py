@@ -26,3 +26,13 @@ def documents(spark, texts, **more):
 
 #: Texts that every operator must take.
 ODD = [None, "", "   \n\t ", "one", "one", "!!! ... 123", "é ü ñ", "\x00 \x1c a b", "word " * 3000, "word " * 3000, "A b C d E f " * 40, "x" * 20000]
+
+
+#: Columns named like the operators' own helpers, as a user's table may have them.
+CLASHES = ("_source _n _shard _order _end key row n size taken spans _name name _th1 th1 th2 blank _lang_pred pred score _lang_score _pass pass cut group cid comp k n_words ids rid fps").split()
+
+
+def clashing(spark, texts):
+    """Documents with a column of each name in CLASHES that holds its own name and the row's number."""
+    data = [(i, t, "en", f"s{i % 3}", None if t is None else len(t), *[f"{c}-{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))

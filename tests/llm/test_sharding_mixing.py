@@ -81,7 +81,7 @@ def test_mix_meets_targets(spark, block, shard_words):
         assert abs(n - target[s]) <= 0.5
     again = mixing.mix(df.repartition(5), block=block, shard_words=shard_words)
     assert rows(again, "doc_id", "size", "source", "taken") == rows(out, "doc_id", "size", "source", "taken")
-    made = mixing.realise(out, ["doc_id", "text", "source"]).collect()
+    made = mixing.realise(df, block=block, shard_words=shard_words).collect()
     words = defaultdict(int)
     for r in made:
         words[r["source"]] += len(spaced(r["text"]))
@@ -91,5 +91,5 @@ def test_mix_meets_targets(spark, block, shard_words):
 
 def test_blocks_are_equal_and_whole(spark):
     df = documents(spark, [" ".join(f"d{i}w{j}" for j in range(40)) for i in range(50)])
-    made = mixing.realise(mixing.mix(df, weights=(1,), budget=0.5, block=16, shard_words=400), df.columns)
+    made = mixing.realise(df, weights=(1,), budget=0.5, block=16, shard_words=400)
     assert sum(len(spaced(r["text"])) for r in made.collect()) == 1000 and made.columns == df.columns

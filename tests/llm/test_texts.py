@@ -11,10 +11,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pipeloom.llm import html_text, language_id, lm_scoring, near_dedup, quality, token_counts
 
-from .helpers import ODD, documents, rows, spaced
+from .helpers import CLASHES, ODD, clashing, documents, rows, spaced
 
 SF = Path("/root/testdata/sf0.01")
 
@@ -41,6 +42,59 @@ def test_language_backs_off_to_ngrams(spark):
     assert out[3]["score"] == 0 and out[6]["lang_pred"] in ("de", "en")
 
 
+def brute_language(rows: list[tuple]) -> list[tuple]:
+    """Predictions of rows (doc_id, text, lang) by counts in plain Python, with all words and n-grams known."""
+    found = lambda t: [w for w in re.split(r"[^a-zà-ÿß]+", (t or "").lower()) if w]
+    runs = lambda w, n: [f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)]
+    train = [(t, g) for i, t, g in rows if t is not None and g is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({g for _, g in train})
+    counts = {(n, g): Counter() for n in range(5) for g in langs}
+    for t, g in train:
+        for w in found(t):
+            counts[0, g][w] += 1
+            for n in range(1, 5):
+                counts[n, g].update(runs(w, n))
+    known = {n: {x for g in langs for x in counts[n, g]} for n in range(5)}
+    log = lambda n, g, x: math.log((counts[n, g][x] + 0.5) / (sum(counts[n, g].values()) + 0.5 * len(known[n])))
+
+    def word(w: str, g: str) -> float:
+        if w in known[0]:
+            return log(0, g, w)
+        for n in range(4, 0, -1):
+            if have := [x for x in runs(w, n) if x in known[n]]:
+                return sum(log(n, g, x) for x in have) / len(have)
+        return 0.0
+
+    out = []
+    for i, t, _ in rows:
+        total = [sum(word(w, g) for w in found(t)) for g in langs]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        out.append((i, zlib.crc32(str(i).encode()) % 4 == 2, *(("und", 0.0) if not found(t) else (langs[best], 1 / sum(math.exp(x - total[best]) for x in total)))))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(12)
+    parts = {"en": ["the", "th", "ing", "ed", "wh"], "de": ["der", "sch", "ung", "ß", "ü"], "fr": ["que", "é", "ment", "eau", "ç"], None: ["the", "que", "zz"]}
+    data = []
+    for i in range(200):
+        lang = rng.choice(list(parts))
+        words = ["".join(rng.choices(parts[lang] + rng.choice(list(parts.values()))[:1], k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 12))]
+        data.append((i, rng.choice([None, *[rng.choice([" ", ", ", " 1-"]).join(words)] * 9]), lang))
+    got = language_id.digest(spark.createDataFrame(data, "doc_id long, text string, lang string")).orderBy("doc_id").collect()
+    for g, want in zip(got, brute_language(data)):
+        assert (g["doc_id"], g["held_out"], g["lang_pred"]) == want[:3] and g["score"] == pytest.approx(want[3], abs=1e-4)
+
+
+def test_language_model_stays_bounded(spark, monkeypatch):
+    """With few numbers allowed, fewer words and n-grams are known, and unseen words still find their language."""
+    monkeypatch.setattr(language_id, "CELLS", 3000)
+    df = spark.createDataFrame([(i, " ".join(f"{'th' if i % 2 else 'sch'}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20)), "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert sum(map(len, model.hashes)) * 2 <= 3000
+    assert [r["lang_pred"] for r in language_id.predict(spark.createDataFrame([(1, "thqqq"), (2, "schqqq")], "doc_id long, text string"), model).orderBy("doc_id").collect()] == ["en", "de"]
+
+
 def test_language_odd_tables(spark):
     df = documents(spark, ODD)
     out = language_id.digest(df)
@@ -70,7 +124,17 @@ def test_language_odd_tables(spark):
         ("<head><title>t</title></head><body>b", "b"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
         ("a<br>b<br/>c &amp; d &lt;", "a\nb\nc & d <"),
-        ("<h1>T</h1>x<hr>y<img alt=pic><input type=submit value=go>", "T\n\nx\ny pic go" if False else "T\n\nx\nypicgo"),
+        ("<h1>T</h1>x<hr>y<img alt=pic><input type=submit value=go>", "T\n\nx\nypicgo"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a | b | c\nd |   | e\nf |   | g"),
+        ("<table><tr><td rowspan=2 colspan=2>x<td>1<tr><td>2<tr><td>p<td>q<td>3</table>", "x     | 1\n  |   | 2\np | q | 3"),
+        ("<table><tr><td>漢字<td>1<tr><td>abcd<td>2<tr><td>e\u0301<td>3</table>", "漢字 | 1\nabcd | 2\ne\u0301    | 3"),
+        ("<ol><li value=5>a<li>b<li value=-1>c<li value=x>d</ol>", "5. a\n6. b\n-1. c\n0. d"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+        ("<div style='visibility:hidden'>a<table><tr><td>t<td style='visibility:visible'>u</table></div>", " | u"),
+        ("<style>.h, p#i { display:none } @media print { b {display:none} } i.k{visibility:hidden} .h.on{display:block}</style><p class='x h'>a<p id=i>b<p>c<b>d</b><i class=k>e</i><p class='h on'>f", "cd\n\nf"),
+        ("<svg><title>t</title><text>in svg</text></svg> <math><mi>x</mi></math>", "in svg x"),
+        ("<input value=a> <input type=password value=b> <input placeholder=c> <textarea>d</textarea>", "a c d"),
         ("<div><div><p>a</div></span></p>b", "a\n\nb"),
         ("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "k\n  v\nl\n  w"),
         ("</p>x</table>", "x"),
@@ -131,6 +195,30 @@ def test_quality_cutoffs_are_exact():
     assert quality.cutoff({0: 1000}, 0.01, 0.01) == 1
     assert quality.cutoff({0: 1000, 30: 50}, 0.01, 0.01) == 31
     assert quality.cutoff({0: 100}, 0.01, 0.01) == quality.LEVELS and quality.cutoff({}, 0.01, 0.01) == quality.LEVELS
+    n = 10**7
+    assert quality.binomial_cdf(n // 100, n, 0.01) == pytest.approx(0.5, abs=0.01) and not quality.refuted(n // 100, n, 0.01, 0.4)
+
+
+def test_quality_bounds_hold_in_each_stratum():
+    """Over many draws of labels, the accepted cutoff loses more than the risk in a share delta of them at most, though it is near the risk."""
+    rng, risk, delta = np.random.default_rng(8), 0.05, 0.1
+    share = np.array([0.7, *[0.3 / (quality.LEVELS - 1)] * (quality.LEVELS - 1)])  # true share of good documents by level
+    beyond = np.cumsum(share[::-1])[::-1]
+    for n in (150, 1500):
+        lost = []
+        for _ in range(2000):
+            cut = quality.cutoff(dict(enumerate(rng.multinomial(n, share).tolist())), risk, delta)
+            lost.append(beyond[cut] if cut < quality.LEVELS else 0.0)
+        assert np.mean(np.array(lost) > risk) <= delta and max(lost) > risk / 2
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_rules_reject_by_cutoffs(spark, size):
+    docs, labels = (spark.read.parquet(f"{SF.parent / size}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judge(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    kept = {r["quality"]: r["kept"] for r in out}
+    assert kept[0] < 0.6 and kept[1] > 1 - quality.RISK
 
 
 def test_quality_limits_false_rejections(spark):
@@ -253,6 +341,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert rows(pipeline.run(spark, str(tmp_path)), "doc_id", "text", "shard") == rows(at, "doc_id", "text", "shard")
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_keep_all_columns(spark, tmp_path, number):
+    """Nulls, very long texts, ties and repeated rows, and columns that bear the helpers' names: each row that stays is whole."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "an item that no document has in it at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = clashing(spark, ["the first text of all", "another text here", *ODD, "long " + "words of a long text " * 60000, "the first text of all"])
+    docs = docs.union(docs.where("doc_id IN (1, 3)"))
+    name, stage = pipeline.STAGES[number]
+    found = stage(spark, docs, str(tmp_path))
+    assert found.columns[: len(docs.columns)] == docs.columns
+    out = found.collect()
+    assert out and all(r[c] == f"{c}-{r['doc_id']}" for r in out for c in CLASHES)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    documents(spark, [None]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_text_keys_tell_texts_apart(spark):
     df = documents(spark, ODD)
     keys = df.select(*[c.alias(n) for n, c in near_dedup.text_keys(df["text"]).items()]).distinct().count()
