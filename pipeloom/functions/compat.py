@@ -87,15 +87,25 @@ def cast_rounding(x: Column, kind: str = "int") -> Column:
     return F.round(x).cast(kind)
 
 
+def cast_half_even(x: Column, kind: str = "int") -> Column:
+    """To an integer type by rounding halves to the even neighbour."""
+    return F.rint(x).cast(kind)
+
+
 def integer_division(a: Column, b: Column) -> Column:
     """Toward zero; null for a divisor of zero."""
     q = F.try_divide(a.cast("double"), b.cast("double"))
     return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
 
 
+def log10_of_zero(x: Column) -> Column:
+    """log10 with minus infinity for 0."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(numbers.log_base(10.0, x))
+
+
 #: Functions by engine and name there, for columns.
 FUNCTIONS: dict[str, dict[str, Callable[..., Column]]] = {
-    "duckdb": {"log": lambda x: numbers.log_base(10.0, x), "concat": text.concat_skipping_nulls, "regexp_replace": text.regexp_replace_first, "dayofweek": dayofweek_from_zero, "split": text.split_literal, "list_dot_product": numbers.dot_product, "list_cosine_similarity": numbers.cosine_similarity, "list_distance": numbers.euclidean_distance},
+    "duckdb": {"log": log10_of_zero, "concat": text.concat_skipping_nulls, "regexp_replace": text.regexp_replace_first, "dayofweek": dayofweek_from_zero, "split": text.split_literal, "list_dot_product": numbers.dot_product, "list_cosine_similarity": numbers.cosine_similarity, "list_distance": numbers.euclidean_distance},
     "trino": {"greatest": numbers.greatest_strict, "least": numbers.least_strict, "split": text.split_literal, "day_of_week": isodow, "hamming_distance": text.hamming, "truncate": numbers.truncate},
     "postgres": {"concat": text.concat_skipping_nulls, "regexp_replace": text.regexp_replace_first, "div": integer_division, "trunc": numbers.truncate},
     "mysql": {"greatest": numbers.greatest_strict, "least": numbers.least_strict, "truncate": numbers.truncate},

@@ -74,8 +74,8 @@ def boolxor_agg(x: Column) -> Column:
 
 
 def hash_agg(*cs: Column) -> Column:
-    """Order-independent hash of the rows of a group."""
-    return F.bit_xor(F.xxhash64(*cs))
+    """Order-independent hash of the rows of a group, repeated ones included: the sum of their hashes modulo 2**63."""
+    return F.pmod(F.sum(F.xxhash64(*cs).cast("decimal(28, 0)")), F.lit(str(1 << 63)).cast("decimal(20, 0)")).cast("long")
 
 
 def range_bucket(x: Column, bounds: Sequence[float]) -> Column:

@@ -66,6 +66,19 @@ def date_diff_boundaries(unit: str, start: Column, end: Column) -> Column:
     }[unit]()
 
 
+def at_time_zone(ts: Column, zone: str, has_zone: bool = False) -> Column:
+    """ts AT TIME ZONE zone: of a time without zone the instant when clocks there show it, of an instant what clocks there show."""
+    here = F.current_timezone()
+    if has_zone:
+        return F.convert_timezone(here, F.lit(zone), ts.cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit(zone), here, ts.cast("timestamp_ntz")).cast("timestamp")
+
+
+def between_zones(ts: Column, source: str, target: str) -> Column:
+    """What clocks in target show when those in source show ts."""
+    return F.convert_timezone(F.lit(source), F.lit(target), ts.cast("timestamp_ntz"))
+
+
 def justify_hours(days: Column, seconds: Column) -> tuple[Column, Column]:
     """Whole days of the seconds moved to the days."""
     more = F.when(seconds < 0, F.ceil(seconds / 86400)).otherwise(F.floor(seconds / 86400))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.pipe import Expr, column
+from .joins import cumulated
 
 
 def with_totals(df: DataFrame, by: Sequence[str], *aggs: Expr) -> DataFrame:
@@ -102,3 +103,80 @@ def entropy(df: DataFrame, by: Sequence[str], value: str, name: str = "entropy")
     counts = df.groupBy(*by, value).count()
     n, s = F.sum("count"), F.sum(F.col("count") * F.log2("count"))
     return counts.groupBy(*by).agg((F.log2(n) - s / n).alias(name))
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, **shares: float) -> DataFrame:
+    """Exact percentiles of each group, interpolated: name=share. Values are counted, the counts summed up in range
+    partitions of (by, value), and only the two neighbours of each position are picked, so no task holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    up = cumulated(counts, [*by, value], F.col("_c"), "_up")
+    ends = up.groupBy(*by).agg(F.min(F.col("_up") - F.col("_c")).alias("_lo"), F.sum("_c").alias("_n"))
+    same: Column = F.lit(True)
+    keyed = ends.withColumnsRenamed({b: f"_b{i}" for i, b in enumerate(by)})
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    both = up.join(keyed, same)
+    last = F.col("_up") - F.col("_lo") - 1  # places of the value in its group, from 0
+    first = last - F.col("_c") + 1
+    out = []
+    for name, share in shares.items():
+        place = share * (F.col("_n") - 1)
+        under, over_ = F.floor(place), F.ceil(place)
+        at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value).cast("double")))
+        low, high, part = at(under), at(over_), F.max(place - under)
+        out.append((low + (high - low) * part).alias(name))
+    return both.groupBy(*by).agg(*out)
+
+
+def agg_or_null(agg: Column, rows: Column | None = None) -> Column:
+    """The OrNull combinator: null instead of a neutral value for empty input."""
+    return F.when(F.count("*" if rows is None else rows) > 0, agg)
+
+
+def agg_distinct(agg: str, value: str) -> Column:
+    """The Distinct combinator: agg over the distinct values."""
+    return F.expr(f"{agg}(DISTINCT {value})")
+
+
+def agg_map(df: DataFrame, by: Sequence[str], maps: str, agg: str, name: str) -> DataFrame:
+    """The Map combinator: agg of the values of each key of a map column, as a map."""
+    at = df.select(*by, F.explode(maps).alias("_k", "_v")).groupBy(*by, "_k").agg(F.expr(f"{agg}(_v)").alias("_a"))
+    return at.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_a")))).alias(name))
+
+
+#: Combinators that a name may end in, and what they add to an aggregate's SQL.
+COMBINATORS = ("If", "Distinct", "OrNull", "OrDefault")
+
+
+def combined(name: str, value: str, condition: str | None = None, default: object = 0) -> Column:
+    """An aggregate whose name carries combinators, stacked as they come: sumIf, sumIfOrNull, countDistinctIf, avgIfOrDefault."""
+    found, rest = [], name
+    while hit := next((c for c in COMBINATORS if rest.endswith(c) and len(rest) > len(c)), None):
+        found.insert(0, hit)
+        rest = rest[: -len(hit)]
+    if ("If" in found) != (condition is not None):
+        raise ValueError("a condition goes with If, and only with it")
+    where = f" FILTER (WHERE {condition})" if condition else ""
+    out = F.expr(f"{rest}({'DISTINCT ' if 'Distinct' in found else ''}{value}){where}")
+    if "OrNull" in found:
+        out = F.when(F.expr(f"count({value}){where}") > 0, out)
+    return F.when(F.expr(f"count({value}){where}") > 0, out).otherwise(F.lit(default)) if "OrDefault" in found else out
+
+
+def top_frequent(df: DataFrame, by: Sequence[str], value: str, k: int, name: str = "top") -> DataFrame:
+    """topK(k)(value): the k most frequent values of each group, ties by least value, as an array. Values are counted first,
+    and tasks keep k of a group before the shuffle."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(F.desc("_c"), value)
+    best = counts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return best.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias(name))
+
+
+def avg_state(value: str) -> Column:
+    """The State combinator of avg: what partial averages need to be put together."""
+    return F.struct(F.sum(value).alias("total"), F.count(value).alias("n"))
+
+
+def avg_merged(state_col: str) -> Column:
+    """The Merge combinator of avg: one state of many."""
+    return F.struct(F.sum(f"{state_col}.total").alias("total"), F.sum(f"{state_col}.n").alias("n"))

@@ -35,16 +35,22 @@ class Matched:
 def merge(target: DataFrame, source: DataFrame, on: Sequence[str], matched: Sequence[Matched] = (), insert_missing: Mapping[str, str] | None = None, delete_unmatched: bool = False) -> DataFrame:
     """MERGE INTO target USING source: one full join on the keys. The first clause whose condition holds applies.
 
-    Several source rows for one target row are an error in SQL; here they raise when the plan runs."""
-    counted = source.groupBy(*on).agg(F.count("*").alias("_n"), F.first(F.struct(*source.columns)).alias("s"))
-    s = counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], F.when(F.col("_n") > 1, F.raise_error(F.lit("several source rows for a key"))).otherwise(F.col("s")).alias("s"))
+    Several source rows for one target row are an error in SQL; here they raise when the plan runs. Source rows that meet
+    no target row (those with a null key, among others) may be as many as they like: each is inserted."""
+    several = source.groupBy(*on).count().where("count > 1").select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(on)], F.lit(True).alias("_several"))
+    rows = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], F.struct(*source.columns).alias("s"))
+    again: Column = F.lit(True)
+    for i in range(len(on)):
+        again &= F.col(f"_k{i}") == F.col(f"_m{i}")
+    s = rows.join(several, again, "left").select(*[f"_k{i}" for i in range(len(on))], "s", "_several")
     t = target.select(F.struct(*target.columns).alias("t"))
     same: Column = F.lit(True)
     for i, k in enumerate(on):
         same &= F.col("t")[k] == F.col(f"_k{i}")
     both = t.join(s, same, "full")
     in_t, in_s = F.col("t").isNotNull(), F.col("s").isNotNull()
-    action = F.when(in_t & ~in_s, F.lit("delete" if delete_unmatched else "keep")).when(~in_t, F.lit("insert" if insert_missing else "skip"))
+    twice = F.raise_error(F.lit("several source rows for a target row")).cast("string")
+    action = F.when(in_t & F.col("_several"), twice).when(in_t & ~in_s, F.lit("delete" if delete_unmatched else "keep")).when(~in_t, F.lit("insert" if insert_missing else "skip"))
     for i, m in enumerate(matched):
         hit = F.coalesce(F.expr(m.condition), F.lit(False)) if m.condition else F.lit(True)
         action = action.when(hit, F.lit("delete" if m.values is None else f"update{i}"))

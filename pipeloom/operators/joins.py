@@ -54,11 +54,18 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence[str]
 def numbered(df: DataFrame, order: Sequence[str], name: str = "n", parts: int = 64) -> DataFrame:
     """Row numbers from 1 in a total order, without a single-partition window: rows are dealt by range, counted by part,
     and numbered in each part. The rows of equal order keys lie in one part."""
+    return cumulated(df, order, F.lit(1), name, parts)
+
+
+def cumulated(df: DataFrame, order: Sequence[str], weight: Column, name: str, parts: int = 64) -> DataFrame:
+    """Running sums of weight in a total order, without a single-partition window: rows are dealt by range, weighed by part,
+    and summed in each part."""
     at = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    at = written(at.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))  # ranges are sampled, so once only
-    sizes = at.groupBy("_part").count()  # as many rows as parts
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    running = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    at = written(at.withColumns({"_w": weight, "_in": running}))  # ranges are sampled, so once only
+    sizes = at.groupBy("_part").agg(F.sum("_w").alias("n"))  # as many rows as parts
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_w", "_in", "_before")
 
 
 def any_join(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[str], how: str = "left") -> DataFrame:

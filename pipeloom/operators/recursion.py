@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.spool import written
+from .joins import numbered
 
 
 def connect_by(df: DataFrame, key: str, parent: str, start_with: str, max_depth: int = 1000, separator: str = "/") -> DataFrame:
@@ -28,6 +29,15 @@ def connect_by(df: DataFrame, key: str, parent: str, start_with: str, max_depth:
     return out.withColumn("path", F.array_join("path", separator))
 
 
+def search_order(found: DataFrame, key: str, name: str = "ord", depth_first: bool = True, separator: str = "/") -> DataFrame:
+    """SEARCH DEPTH | BREADTH FIRST BY key SET name on the result of ``connect_by``: each row's number in that order of visit.
+
+    Depth first, rows come in the order of their paths, key by key as numbers; breadth first, by level and then so."""
+    steps = F.transform(F.split("path", separator), lambda x: x.cast(dict(found.dtypes)[key]))
+    order = ["_steps"] if depth_first else ["level", "_steps"]
+    return numbered(found.withColumn("_steps", steps), order, name).drop("_steps")
+
+
 def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """All (src, dst) pairs with a path between them, by doubling path lengths (log2 of the longest path joins).
     The result may be as large as the square of the nodes."""

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.pipe import Expr, ordering
+from .joins import numbered
 from .windows import over
 
+BROADCAST_ROWS = 100_000  # sort keys of so many rows may go to every task
+
 
 def distinct_on(df: DataFrame, on: Sequence[str], order_by: Sequence[Expr]) -> DataFrame:
     """The first row of each key; the order should be total."""
@@ -32,16 +35,18 @@ def limit_with_ties(df: DataFrame, n: int, order_by: Sequence[Expr]) -> DataFram
         raise ValueError("order_by must be texts")
     top = df.select(*names).orderBy(*keys).limit(n)
     edge = top.groupBy(*names).count()  # n rows at most
+    if n <= BROADCAST_ROWS:
+        edge = F.broadcast(edge)
     same = F.lit(True)
     for x in names:
         same &= df[x].eqNullSafe(edge[x])
-    return df.join(F.broadcast(edge), same, "left_semi")
+    return df.join(edge, same, "left_semi")
 
 
 def limit_percent(df: DataFrame, percent: float, order_by: Sequence[Expr]) -> DataFrame:
-    """The first percent of the rows, rounded down."""
+    """The first percent of the rows, rounded down: rows get their number in range partitions, no task sorts or gathers them all."""
     n = int(df.count() * percent / 100)
-    return df.orderBy(*map(ordering, order_by)).limit(n)
+    return numbered(df, [ordering(o) for o in order_by], "_n").where(F.col("_n") <= n).drop("_n")
 
 
 def order_all(df: DataFrame, descending: bool = False) -> DataFrame:

@@ -24,27 +24,53 @@ def groups_frame(df: DataFrame, agg: Column, name: str, partition_by: Sequence[E
 
 
 def exclude(df: DataFrame, value: str, name: str, partition_by: Sequence[Expr], order_by: Sequence[Expr], what: str = "current row", start: int = Window.unboundedPreceding, end: int = Window.unboundedFollowing, agg: str = "sum") -> DataFrame:
-    """sum or count of value over a ROWS frame (GROUP, TIES: over the whole partition) without the current row, its peers
-    and itself (group), its peers alone (ties), or nothing (no others)."""
-    base = over(partition_by, order_by)
-    v = F.col(value)
-    f = {"sum": lambda c: F.sum(c), "count": lambda c: F.count(c)}[agg]
-    single = v if agg == "sum" else F.when(v.isNotNull(), 1).otherwise(0)
-    n = lambda w: F.count(v).over(w)
-    frame = base.rowsBetween(start, end)
-    peers = Window.partitionBy(*map(column, partition_by), *[column(o if not isinstance(o, str) else o.split()[0]) for o in order_by])
-    zero = F.lit(0)
+    """sum, count, min, max or avg of value over a ROWS frame without the current row, its peers and itself (group), its
+    peers alone (ties), or nothing (no others).
+
+    What lies before and after the excluded rows is aggregated apart and put together, nothing is subtracted. Beside
+    peers, an open end of the frame is a frame over groups of peers; a bounded one gathers its few rows."""
+    if start > 0 or end < 0:
+        raise ValueError("the frame must hold the current row")
+    base, v = over(partition_by, order_by), F.col(value)
     if what == "no others":
-        return df.withColumn(name, f(v).over(frame))
-    if what == "current row":
-        inside = F.lit(start <= 0 <= end)
-        total, out, count = f(v).over(frame), F.when(inside, F.coalesce(single, zero)).otherwise(0), n(frame) - F.when(inside & v.isNotNull(), 1).otherwise(0)
-    else:
-        whole = Window.partitionBy(*map(column, partition_by))
-        total, out, count = f(v).over(whole), F.coalesce(f(v).over(peers), zero), n(whole) - n(peers)
-        if what == "ties":
-            out, count = out - F.coalesce(single, zero), count + F.when(v.isNotNull(), 1).otherwise(0)
-    return df.withColumn(name, total - out if agg == "count" else F.when(count > 0, total - out))
+        return df.withColumn(name, getattr(F, agg)(v).over(base.rowsBetween(start, end)))
+    df = df.withColumn("_g", F.dense_rank().over(base))
+    by_group = Window.partitionBy(*map(column, partition_by)).orderBy("_g")
+    whole = {"sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",), "avg": ("sum", "count")}[agg]
+    parts: dict[str, list[Column]] = {f: [] for f in whole}
+
+    def add(lo: int, hi: int) -> None:
+        """A side of the frame: rows lo to hi from the current one, all before or all after it."""
+        opened = lo == Window.unboundedPreceding or hi == Window.unboundedFollowing
+        if what == "current row" or opened:
+            w = base.rowsBetween(lo, hi) if what == "current row" else by_group.rangeBetween(lo if hi < 0 else 1, hi if hi > 0 else -1)
+            for f, found in parts.items():
+                found.append(getattr(F, f)(v).over(w))
+            return
+        near = F.collect_list(F.struct(F.col("_g").alias("g"), v.alias("v"))).over(base.rowsBetween(lo, hi))
+        values = F.filter(F.transform(F.filter(near, lambda x: x["g"] != F.col("_g")), lambda x: x["v"]), lambda x: x.isNotNull())
+        folds = {"sum": lambda: F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))), "count": lambda: F.size(values), "min": lambda: F.array_min(values), "max": lambda: F.array_max(values)}
+        for f, found in parts.items():
+            found.append(folds[f]())
+
+    if start < 0:
+        add(start, -1)
+    if end > 0:
+        add(1, end)
+    if what == "ties":
+        for f, found in parts.items():
+            found.append(F.when(v.isNotNull(), 1).otherwise(0) if f == "count" else v)
+
+    def total(found: list[Column]) -> Column:
+        some = F.coalesce(*found, F.lit(None)) if found else F.lit(None)
+        out = F.lit(0)
+        for x in found:
+            out = out + F.coalesce(x, F.lit(0))
+        return F.when(some.isNotNull(), out)
+
+    got = {f: total(found) if f in ("sum", "count") else F.array_min(F.array(*found)) if f == "min" else F.array_max(F.array(*found)) for f, found in parts.items()}
+    out = got["sum"] / F.nullif(got["count"], F.lit(0)) if agg == "avg" else F.coalesce(got["count"], F.lit(0)).cast("long") if agg == "count" else got[agg]
+    return df.withColumn(name, out).drop("_g")
 
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
@@ -52,8 +78,14 @@ def qualify(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_q", condition).where("_q").drop("_q")
 
 
+def keep(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, last: bool = False) -> DataFrame:
+    """agg KEEP (DENSE_RANK FIRST | LAST ORDER BY order): an aggregate over all rows of the first (last) rank of each group."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc_nulls_last() if last else F.col(order).asc_nulls_last())
+    return df.withColumn("_r", F.rank().over(w)).where("_r = 1").groupBy(*by).agg(value.alias(name))
+
+
 def keep_first(value: str, order: str) -> Column:
-    """value of the first row in order: KEEP (DENSE_RANK FIRST) for one row of that rank."""
+    """value of one row of the first rank in order, as an aggregate."""
     return F.min_by(value, order)
 
 

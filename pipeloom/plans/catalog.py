@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql.window import Window
 from ..functions import collections as C
 from ..functions import compat, misc, numbers, temporal, text
 from ..operators import aggregates, changes, joins, matching, recursion, sets, sorting, windows
-from ..sources import files, tables
+from ..sources import files, spool, tables
 from ..streaming import windows as event_windows
+from . import shape
+from .engine import Engine
 from .pipe import Pipe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,9 +148,9 @@ def _above(df: DataFrame, column: str, value: float) -> DataFrame:
     return df.where(F.col(column) > value)
 
 
-@query("SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice > 1200 AND p_size > 20")
+@query("SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice > 950 AND p_size > 20")
 def pipe_call(t: Tables) -> Pipe:
-    return t.pipe("part").select("p_partkey", "p_retailprice", "p_size").call(_above, "p_retailprice", 1200).call(_above, "p_size", 20, alias="x")
+    return t.pipe("part").select("p_partkey", "p_retailprice", "p_size").call(_above, "p_retailprice", 950).call(_above, "p_size", 20, alias="x")
 
 
 @query("SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS spent FROM orders")
@@ -155,9 +158,21 @@ def pipe_window(t: Tables) -> Pipe:
     return t.pipe("orders").window("round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS spent").select("o_orderkey", "o_custkey", "spent")
 
 
-@query(None)
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT % 10 = 2")
 def pipe_tablesample(t: Tables) -> Pipe:
-    return t.pipe("lineitem").tablesample(0.1, seed=7).aggregate("count(*) BETWEEN 1 AND 1000000 AS plausible")
+    return t.pipe("orders").select("o_orderkey", "o_custkey", "o_totalprice").tablesample(bucket=(3, 10, ["o_orderkey"]))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5('7|' || c_custkey || '|' || c_name) LIMIT 25")
+def pipe_tablesample_rows(t: Tables) -> Pipe:
+    return t.pipe("customer").select("c_custkey", "c_name").tablesample(rows=25, seed=7)
+
+
+@query(None)
+def pipe_tablesample_fraction(t: Tables) -> DataFrame:
+    """How many of each order status are in a tenth, and that all of them are orders; fractions are Spark's own sampling."""
+    some = t.pipe("orders").tablesample(0.1, seed=7).df.select("o_orderkey", "o_orderstatus")
+    return some.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
 
 
 @query("""SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY ALL""")
@@ -189,9 +204,9 @@ def join_semi(t: Tables) -> DataFrame:
     return t.supplier.join(t.customer.where("c_acctbal > 9000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("s_suppkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_anti(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) b ON a.k = b.k")
@@ -229,9 +244,9 @@ def join_any(t: Tables) -> DataFrame:
     return joins.any_join(t.customer.select("c_custkey"), right, ["c_custkey"], ["o_totalprice", "o_orderkey"])
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(embedding[i], 5) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 4)) AS i FROM embeddings)")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(embedding[i], 5) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def join_array(t: Tables) -> DataFrame:
-    df = t.embeddings.select("vec_id", F.slice("embedding", 1, 3).alias("e"), F.array(*[F.lit(i) for i in range(3)]).alias("ix"))
+    df = t.embeddings.select("vec_id", F.col("embedding").alias("e"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("ix"))
     return joins.array_join(df, {"i": "ix", "x": "e"}).select("vec_id", "i", F.round(F.col("x"), 5).alias("x"))
 
 
@@ -292,9 +307,42 @@ def agg_listagg(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(aggregates.list_agg("n_name", "; ", "n_name").alias("names"), F.count_distinct("n_name").alias("n"))
 
 
-@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, mode(l_linenumber) = 1 AS first_common FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0), 4) AS lo, round(quantile_cont(l_extendedprice, 1), 4) AS hi FROM lineitem GROUP BY ALL")
 def agg_percentiles(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("med"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), (F.mode("l_linenumber") == 1).alias("first_common"))
+    return aggregates.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", med=0.5, p90=0.9, lo=0.0, hi=1.0).select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("med", "p90", "lo", "hi")])
+
+
+@query("SELECT l_returnflag, min(l_linenumber) AS common FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY n DESC) AS r FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1 GROUP BY ALL")
+def agg_mode(t: Tables) -> DataFrame:
+    return aggregates.top_frequent(t.lineitem, ["l_returnflag"], "l_linenumber", 1).select("l_returnflag", F.get("top", F.lit(0)).alias("common"))
+
+
+@query("SELECT o_orderpriority, string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY n DESC, o_custkey) AS top FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY ALL)) WHERE r <= 5 GROUP BY ALL")
+def agg_top_frequent(t: Tables) -> DataFrame:
+    return aggregates.top_frequent(t.orders, ["o_orderpriority"], "o_custkey", 5).select("o_orderpriority", F.array_join(F.transform("top", lambda x: x.cast("string")), ",").alias("top"))
+
+
+@query("""SELECT o_orderstatus, round(sum(o_totalprice) FILTER (WHERE o_orderpriority = 'never'), 2) AS none_sum, coalesce(round(avg(o_totalprice) FILTER (WHERE o_orderpriority = 'never'), 2), -1) AS avg_default,
+count(DISTINCT o_custkey) FILTER (WHERE o_totalprice > 200000) AS buyers, nullif(count(o_custkey) FILTER (WHERE o_totalprice > 600000), 0) AS large, round(sum(DISTINCT round(o_totalprice, -3)), 2) AS levels FROM orders GROUP BY ALL""")
+def agg_combinators(t: Tables) -> DataFrame:
+    c = aggregates.combined
+    never = "o_orderpriority = 'never'"
+    return t.orders.groupBy("o_orderstatus").agg(F.round(c("sumIf", "o_totalprice", never), 2).alias("none_sum"), F.round(c("avgIfOrDefault", "o_totalprice", never, -1.0), 2).alias("avg_default"), c("countDistinctIf", "o_custkey", "o_totalprice > 200000").alias("buyers"), c("countIfOrNull", "o_custkey", "o_totalprice > 600000").alias("large"), F.round(c("sumDistinct", "round(o_totalprice, -3)"), 2).alias("levels"))
+
+
+@query("SELECT user_id, event_type, round(sum(value), 4) AS total, max(value) AS top FROM events GROUP BY ALL")
+def agg_map_combinator(t: Tables) -> DataFrame:
+    df = t.events.select("user_id", F.create_map("event_type", "value").alias("m"))
+    sums, tops = (aggregates.agg_map(df, ["user_id"], "m", f, n) for f, n in (("sum", "s"), ("max", "x")))
+    return sums.join(tops, "user_id").select("user_id", "x", F.explode("s").alias("event_type", "total")).select("user_id", "event_type", F.round("total", 4).alias("total"), F.element_at("x", F.col("event_type")).alias("top"))
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY ALL")
+def agg_state_merge(t: Tables) -> DataFrame:
+    """Averages of groups from mergeable states of finer groups."""
+    parts = t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(aggregates.avg_state("o_totalprice").alias("s"))
+    merged = parts.groupBy("o_orderstatus").agg(aggregates.avg_merged("s").alias("s"))
+    return merged.select("o_orderstatus", F.round(F.col("s.total") / F.col("s.n"), 4).alias("mean"), F.col("s.n").alias("n"))
 
 
 @query("""SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 6) AS vp, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurt FROM events GROUP BY ALL""")
@@ -319,10 +367,10 @@ def agg_bits(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.bool_and(F.col("l_quantity") > 0).alias("every_one"), F.bool_or(F.col("l_discount") > 0.09).alias("some_one"), F.bit_xor("l_orderkey").alias("bx"), F.bit_or("l_linenumber").cast("long").alias("bo"))
 
 
-@query("SELECT label, round(sum(embedding[1]::DOUBLE), 4) AS s1, round(sum(embedding[2]::DOUBLE), 4) AS s2 FROM embeddings GROUP BY ALL")
+@query("SELECT label, CAST(i - 1 AS INTEGER) AS i, round(sum(x), 4) AS total FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
 def agg_for_each(t: Tables) -> DataFrame:
-    df = t.embeddings.select("label", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("e"))
-    return aggregates.agg_for_each(df, ["label"], "e", "sum", "s").select("label", F.round(F.get("s", F.lit(0)), 4).alias("s1"), F.round(F.get("s", F.lit(1)), 4).alias("s2"))
+    df = t.embeddings.select("label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return aggregates.agg_for_each(df, ["label"], "e", "sum", "s").select("label", F.posexplode("s").alias("i", "x")).select("label", "i", F.round("x", 4).alias("total"))
 
 
 @query("SELECT o_orderstatus, b.bin, n FROM (SELECT DISTINCT o_orderstatus FROM orders) CROSS JOIN (SELECT unnest([0, 100000, 200000, 300000]) AS bin) b LEFT JOIN (SELECT o_orderstatus AS s, CAST(floor(o_totalprice / 100000) * 100000 AS INTEGER) AS bin, count(*) AS n FROM orders WHERE o_totalprice >= 0 AND o_totalprice <= 399999 GROUP BY ALL) x ON s = o_orderstatus AND x.bin = b.bin")
@@ -330,12 +378,14 @@ def agg_resample(t: Tables) -> DataFrame:
     return aggregates.agg_resample(t.orders, ["o_orderstatus"], F.count("*"), "o_totalprice", 0, 400000, 100000, "n")
 
 
-@query("SELECT abs(approx - exact) <= 0.05 * exact AS close FROM (SELECT count(DISTINCT o_custkey) AS approx, count(DISTINCT o_custkey) AS exact FROM orders)")
+@query("SELECT count(DISTINCT o_custkey) AS exact, 0 AS off_by_twentieths, true AS as_whole FROM orders")
 def agg_sketch_merge(t: Tables) -> DataFrame:
+    """The merged sketches of parts estimate what the sketch of the whole does, within a twentieth of the exact number."""
     parts = t.orders.groupBy("o_orderstatus").agg(aggregates.state("distinct", "o_custkey").alias("s"))
-    approx = parts.agg(F.hll_sketch_estimate(aggregates.merged("distinct", "s")).alias("approx"))
-    exact = t.orders.agg(F.count_distinct("o_custkey").alias("exact"))
-    return approx.crossJoin(exact).select((F.abs(F.col("approx") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+    estimate = parts.agg(F.hll_sketch_estimate(aggregates.merged("distinct", "s")).alias("approx"))
+    exact = t.orders.agg(F.count_distinct("o_custkey").alias("exact"), F.hll_sketch_estimate(aggregates.state("distinct", "o_custkey")).alias("whole"))
+    off = F.floor(F.abs(F.col("approx") - F.col("exact")) * 20 / F.col("exact")).cast("int")
+    return estimate.crossJoin(exact).select("exact", off.alias("off_by_twentieths"), (F.col("approx") == F.col("whole")).alias("as_whole"))
 
 
 @query("SELECT c_nationkey, round(entropy(c_mktsegment), 6) AS entropy FROM customer GROUP BY ALL")
@@ -467,11 +517,11 @@ def set_except_on(t: Tables) -> DataFrame:
 # Recursion, patterns, changes
 
 
-@query("""WITH RECURSIVE tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part WHERE p_partkey <= 200),
-h AS (SELECT id, 1 AS level, CAST(id AS VARCHAR) AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, h.level + 1, h.path || '/' || t.id FROM tree t JOIN h ON t.parent = h.id) SELECT * FROM h""")
+@query("""WITH RECURSIVE tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 3 THEN c_custkey // 3 END AS parent FROM customer),
+h AS (SELECT id, 1 AS level, CAST(id AS VARCHAR) AS path, id AS root FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, h.level + 1, h.path || '/' || t.id, h.root FROM tree t JOIN h ON t.parent = h.id) SELECT * FROM h""")
 def recursive_connect_by(t: Tables) -> DataFrame:
-    tree = t.part.where("p_partkey <= 200").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 1 THEN p_partkey DIV 2 END AS parent")
-    return recursion.connect_by(tree, "id", "parent", "parent IS NULL").select("id", "level", "path")
+    tree = t.customer.selectExpr("c_custkey AS id", "CASE WHEN c_custkey > 3 THEN c_custkey DIV 3 END AS parent")
+    return recursion.connect_by(tree, "id", "parent", "parent IS NULL").select("id", "level", "path", "root")
 
 
 @query("""WITH RECURSIVE tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
@@ -503,27 +553,26 @@ def match_rises(t: Tables) -> DataFrame:
     return out.select("user_id", F.col("n").cast("long").alias("n"), "from_row", "peak")
 
 
-@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE NOT s_acctbal < 0")
+@query("SELECT * FROM (SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier) WHERE NOT (s_nationkey <> 3 AND s_acctbal < 0 OR s_nationkey = 3 AND s_acctbal < 100)")
 def change_update_delete(t: Tables) -> DataFrame:
     return changes.delete(changes.update(t.supplier, {"s_acctbal": "s_acctbal + 100"}, "s_nationkey = 3"), "s_nationkey <> 3 AND s_acctbal < 0 OR s_nationkey = 3 AND s_acctbal < 100")
 
 
-ORACLES["change_update_delete"] = "SELECT * FROM (SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier) WHERE NOT (s_nationkey <> 3 AND s_acctbal < 0 OR s_nationkey = 3 AND s_acctbal < 100)"
-
-
-@query("""WITH t AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey <= 100), s AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_custkey BETWEEN 51 AND 150 GROUP BY ALL)
-SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN s.v WHEN s.k IS NULL THEN t.v ELSE round(t.v + s.v, 2) END AS v FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.v > 2000000)""")
+@query("""WITH t AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey END AS k, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING'), s AS (SELECT CASE WHEN open = 1 THEN o_custkey END AS k, CAST(floor(sum(o_totalprice)) AS DOUBLE) AS v FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN 1 END AS open FROM orders) GROUP BY o_custkey, open)
+SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.v IS NULL THEN s.v WHEN s.v IS NULL THEN t.v ELSE round(t.v + s.v, 2) END AS v FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.v IS NOT NULL AND s.v IS NOT NULL AND s.v > 2000000)""")
 def change_merge(t: Tables) -> DataFrame:
-    target = t.customer.where("c_custkey <= 100").selectExpr("c_custkey AS k", "c_acctbal AS v")
-    source = t.orders.where("o_custkey BETWEEN 51 AND 150").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    """Rows with a null key, many in source and target, match nothing: they stay, or are inserted one by one."""
+    target = t.customer.where("c_mktsegment <> 'BUILDING'").selectExpr("CASE WHEN c_acctbal >= 0 THEN c_custkey END AS k", "c_acctbal AS v")
+    open_ = F.when(F.col("o_orderstatus") != "P", 1)
+    source = t.orders.groupBy("o_custkey", open_.alias("open")).agg(F.floor(F.sum("o_totalprice")).cast("double").alias("v")).select(F.when(F.col("open") == 1, F.col("o_custkey")).alias("k"), "v")
     clauses = [changes.Matched(None, "s.v > 2000000"), changes.Matched({"v": "round(t.v + s.v, 2)"})]
     return changes.merge(target, source, ["k"], clauses, {"k": "s.k", "v": "s.v"})
 
 
-@query("SELECT n_nationkey AS k, upper(n_name) AS name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 10 AND 15")
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_name NOT LIKE '%A%' UNION ALL SELECT n_nationkey, lower(n_name) FROM nation WHERE n_name LIKE '%A%' UNION ALL SELECT 1000 + r_regionkey, r_name FROM region")
 def change_upsert(t: Tables) -> DataFrame:
-    old = t.nation.where("n_nationkey < 16").selectExpr("n_nationkey AS k", "n_name AS name")
-    return changes.upsert(old, t.nation.where("n_nationkey < 10").selectExpr("n_nationkey AS k", "upper(n_name) AS name"), ["k"])
+    new = t.nation.where("n_name LIKE '%A%'").selectExpr("n_nationkey AS k", "lower(n_name) AS name").union(t.region.selectExpr("1000 + r_regionkey AS k", "r_name AS name"))
+    return changes.upsert(t.nation.selectExpr("n_nationkey AS k", "n_name AS name"), new, ["k"])
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders GROUP BY ALL)
@@ -576,10 +625,10 @@ def events_time_slice(t: Tables) -> DataFrame:
 # Functions
 
 
-@query("""SELECT doc_id, regexp_replace(text, '[a-z]+', '#') = text AS same, len(string_split(coalesce(source, ''), 'r'))::BIGINT AS parts, coalesce(lang, '') || coalesce(source, '') AS both, regexp_full_match(lang, '(e|f).') AS ef, lang GLOB '[de]?' AS g, unicode(lang)::BIGINT AS first_code, md5(source) AS m FROM documents""")
+@query("""SELECT doc_id, md5(regexp_replace(text, '[a-z]+', '#')) AS first_gone, len(string_split(coalesce(source, ''), 'r'))::BIGINT AS parts, coalesce(lang, '') || coalesce(source, '') AS both, regexp_full_match(lang, '(e|f).') AS ef, lang GLOB '[de]?' AS g, unicode(lang)::BIGINT AS first_code, md5(source) AS m FROM documents""")
 def functions_text(t: Tables) -> DataFrame:
     c = F.col
-    return t.documents.select("doc_id", (text.regexp_replace_first(c("text"), "[a-z]+", "#") == c("text")).alias("same"), F.size(text.split_literal(F.coalesce("source", F.lit("")), "r")).cast("long").alias("parts"), text.concat_skipping_nulls(c("lang"), c("source")).alias("both"), text.similar_to(c("lang"), "(e|f)_").alias("ef"), text.glob(c("lang"), "[de]?").alias("g"), F.get(text.code_points(c("lang")), F.lit(0)).cast("long").alias("first_code"), F.md5(c("source")).alias("m"))
+    return t.documents.select("doc_id", F.md5(text.regexp_replace_first(c("text"), "[a-z]+", "#")).alias("first_gone"), F.size(text.split_literal(F.coalesce("source", F.lit("")), "r")).cast("long").alias("parts"), text.concat_skipping_nulls(c("lang"), c("source")).alias("both"), text.similar_to(c("lang"), "(e|f)_").alias("ef"), text.glob(c("lang"), "[de]?").alias("g"), F.get(text.code_points(c("lang")), F.lit(0)).cast("long").alias("first_code"), F.md5(c("source")).alias("m"))
 
 
 @query("""SELECT c_custkey, levenshtein(c_name, 'Customer#1')::BIGINT AS lev, hamming(lpad(c_mktsegment, 12, '-'), 'AUTOMOBILE--')::BIGINT AS ham, round(jaro_winkler_similarity(c_mktsegment, 'MACHINES'), 8) AS jw, reverse(c_name) AS rev, translate(c_name, '#0', '-o') AS tr, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS pad, starts_with(c_mktsegment, 'B') AS b FROM customer""")
@@ -619,10 +668,10 @@ def functions_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", C.check_json(p).isNull().alias("ok"), F.size(F.json_object_keys(p)).cast("long").alias("n_keys"), C.json_has_any_key(p, "page").alias("has_page"))
 
 
-@query("""SELECT user_id, list_aggregate(list(value ORDER BY event_id), 'sum')::DOUBLE > 0 AS pos, len(list_distinct(list(event_type)))::BIGINT AS kinds, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS names, len(list_filter(list(value), lambda x: x > 50))::BIGINT AS high FROM events GROUP BY ALL""")
+@query("""SELECT user_id, round(list_aggregate(list(value ORDER BY event_id), 'sum')::DOUBLE, 4) AS total, len(list_distinct(list(event_type)))::BIGINT AS kinds, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS names, len(list_filter(list(value), lambda x: x > 50))::BIGINT AS high FROM events GROUP BY ALL""")
 def functions_arrays(t: Tables) -> DataFrame:
     g = t.events.groupBy("user_id").agg(F.collect_list("value").alias("v"), F.collect_set("event_type").alias("k"))
-    return g.select("user_id", (C.array_sum(F.col("v")) > 0).alias("pos"), F.size("k").cast("long").alias("kinds"), F.array_join(F.sort_array("k"), "|").alias("names"), F.size(C.comprehension(F.col("v"), lambda x: x, lambda x: x > 50)).cast("long").alias("high"))
+    return g.select("user_id", F.round(C.array_sum(F.col("v")), 4).alias("total"), F.size("k").cast("long").alias("kinds"), F.array_join(F.sort_array("k"), "|").alias("names"), F.size(C.comprehension(F.col("v"), lambda x: x, lambda x: x > 50)).cast("long").alias("high"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host, nullif(regexp_extract(url, '[?&]utm_source=([^&]*)', 1), '') AS utm FROM pages""")
@@ -652,10 +701,14 @@ def source_values(t: Tables) -> DataFrame:
     return files.values(t.spark, [(1, "a"), (2, None), (2, "b")], "x int, y string")
 
 
-@query("""SELECT count(*) AS n FROM region""")
+@query("""WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_name END AS name FROM nation)
+SELECT 'JSONEachRow' AS format, '{"k":' || k || ',"name":' || coalesce('"' || name || '"', 'null') || '}' AS line FROM n
+UNION ALL SELECT 'JSONCompactEachRow', '[' || k || ',' || coalesce('"' || name || '"', 'null') || ']' FROM n
+UNION ALL SELECT 'CSV', k || ',' || coalesce(name, '') FROM n UNION ALL SELECT 'TSV', k || chr(9) || coalesce(name, '') FROM n""")
 def source_formats(t: Tables) -> DataFrame:
-    lines = files.formatted(t.region, "JSONEachRow").union(files.formatted(t.region, "CSV")).union(files.formatted(t.region, "TSV")).union(files.formatted(t.region, "JSONCompactEachRow"))
-    return lines.groupBy().agg((F.count("line") / 4).cast("long").alias("n"))
+    df = t.nation.select(F.col("n_nationkey").alias("k"), F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("name"))
+    lines = [files.formatted(df, kind).select(F.lit(kind).alias("format"), "line") for kind in files.FORMATS]
+    return functools.reduce(DataFrame.union, lines)
 
 
 # Analytics over several operators
@@ -687,12 +740,13 @@ def analytics_order_distribution(t: Tables) -> Pipe:
 # Semantics of other engines, tables and sessions
 
 
-@query("""SELECT c_custkey, round(log(c_custkey), 8) AS lg, concat(c_mktsegment, NULL, '!') AS cc, regexp_replace(c_name, '[0-9]', 'x') AS first_only, dayofweek(DATE '1998-01-01' + CAST(c_custkey % 50 AS INTEGER))::BIGINT AS dow, len(string_split(c_name, '.'))::BIGINT AS parts, CAST(c_acctbal AS BIGINT) AS rounded FROM customer WHERE c_custkey > 0 AND c_acctbal * 2 <> round(c_acctbal * 2)""")
+@query("""SELECT c_custkey, round(log(c_custkey), 8) AS lg, concat(c_mktsegment, NULL, '!') AS cc, regexp_replace(c_name, '[0-9]', 'x') AS first_only, dayofweek(DATE '1998-01-01' + CAST(c_custkey % 50 AS INTEGER))::BIGINT AS dow, len(string_split(c_name, '.'))::BIGINT AS parts, CAST(c_acctbal AS BIGINT) AS rounded FROM (SELECT * REPLACE (c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 0.5 - (c_acctbal - floor(c_acctbal)) ELSE 0 END AS c_acctbal) FROM customer)""")
 def compat_duckdb(t: Tables) -> DataFrame:
     f, c = (lambda n: compat.function("duckdb", n)), F.col
     day = F.date_add(F.lit("1998-01-01").cast("date"), (c("c_custkey") % 50).cast("int"))
-    df = t.customer.where("c_custkey > 0 AND c_acctbal * 2 <> round(c_acctbal * 2)")
-    return df.select("c_custkey", F.round(f("log")(c("c_custkey")), 8).alias("lg"), f("concat")(c("c_mktsegment"), F.lit(None), F.lit("!")).alias("cc"), f("regexp_replace")(c("c_name"), "[0-9]", "x").alias("first_only"), f("dayofweek")(day).cast("long").alias("dow"), F.size(f("split")(c("c_name"), ".")).cast("long").alias("parts"), compat.cast_rounding(c("c_acctbal"), "long").alias("rounded"))
+    bal = F.col("c_acctbal")
+    df = t.customer.withColumn("c_acctbal", bal + F.when(F.col("c_custkey") % 7 == 0, 0.5 - (bal - F.floor(bal))).otherwise(0))  # with many halves
+    return df.select("c_custkey", F.round(f("log")(c("c_custkey")), 8).alias("lg"), f("concat")(c("c_mktsegment"), F.lit(None), F.lit("!")).alias("cc"), f("regexp_replace")(c("c_name"), "[0-9]", "x").alias("first_only"), f("dayofweek")(day).cast("long").alias("dow"), F.size(f("split")(c("c_name"), ".")).cast("long").alias("parts"), compat.cast_half_even(c("c_acctbal"), "long").alias("rounded"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE greatest(n_nationkey, n_regionkey, 3) END AS g, isodow(DATE '2024-01-01' + n_nationkey) AS dow FROM nation")
@@ -701,28 +755,26 @@ def compat_trino(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", compat.function("trino", "greatest")(F.col("n_nationkey"), F.col("n_regionkey"), some).alias("g"), compat.function("trino", "day_of_week")(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey"))).cast("long").alias("dow"))
 
 
-@query("""SELECT 's_suppkey' AS "column", count(*) AS n, count(*) - count(s_suppkey) AS nulls, CAST(min(s_suppkey) AS VARCHAR) AS least FROM supplier UNION ALL SELECT 's_name', count(*), count(*) - count(s_name), min(s_name) FROM supplier""")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM labelled" for c in ("doc_id", "source", "n_chars", "quality", "toxic")).replace("FROM labelled", "FROM (SELECT * FROM documents LEFT JOIN labels USING (doc_id))"))
 def table_summary(t: Tables) -> DataFrame:
-    return tables.summarize(t.supplier.select("s_suppkey", "s_name")).select("column", "n", "nulls", "least")
+    df = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "source", "n_chars", "quality", "toxic")
+    return tables.summarize(df).select("column", "n", "nulls", "least", "greatest")
 
 
-@query("SELECT p_partkey, p_retailprice * 1.1 AS taxed FROM part WHERE p_size < 10")
+@query("SELECT p_partkey, p_retailprice * (1 + 0.1::DOUBLE) AS taxed FROM part WHERE p_size < 10")
 def table_function_macro(t: Tables) -> DataFrame:
     tables.create_function(t.spark, "with_tax", {"x": "DOUBLE", "rate": "DOUBLE"}, "DOUBLE", "x * (1 + rate)")
     return t.spark.sql("SELECT p_partkey, with_tax(p_retailprice, 0.1) AS taxed FROM {p} WHERE p_size < 10", p=t.part)
 
 
-ORACLES["table_function_macro"] = "SELECT p_partkey, p_retailprice * (1 + 0.1::DOUBLE) AS taxed FROM part WHERE p_size < 10"
-
-
 @query("SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
 def join_hinted(t: Tables) -> DataFrame:
     return tables.hinted(t.region, "merge").join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name")
 
 
-@query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 100)")
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('1|' || o_orderkey || '|' || o_custkey) LIMIT 100")
 def sample_rows(t: Tables) -> DataFrame:
-    return tables.sample_rows(t.orders.select("o_orderkey"), 100).agg(F.count("*").alias("n"))
+    return tables.sample_rows(t.orders.select("o_orderkey", "o_custkey"), 100)
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 200000")
@@ -759,10 +811,10 @@ def builtin_strings(t: Tables) -> Pipe:
     return t.pipe("customer").select("c_custkey", "upper(c_mktsegment) AS a", "lower(c_mktsegment) AS b", "trim('  ' || c_name || ' ') AS c", "repeat('ab', c_nationkey % 3) AS d", "replace(c_name, '#', '-') AS e", "bigint(position('o', c_name)) AS f", "substring(c_name, 3, 4) AS g", "split_part(c_name, '#', 1) AS h", "hex(c_mktsegment) AS i", "sha2(c_name, 256) AS j", "base64(encode(c_mktsegment, 'UTF-8')) AS k", "bigint(ascii(c_mktsegment)) AS l", "char(65 + c_nationkey) AS m", "rpad(c_mktsegment, 12, '.') AS n", "endswith(c_name, '1') AS o", "contains(c_name, '10') AS p", "sha1(c_name) AS q", "bigint(bit_length(c_name)) AS r", "bigint(octet_length(c_name)) AS s")
 
 
-@query(r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)[ .,]', 1) AS a, regexp_matches(text, 't.e') AS b, len(regexp_extract_all(text, '[aeiou]+'))::BIGINT AS c, regexp_replace(left(text, 60), '[^a-z]+', '_', 'g') AS d, len(string_split_regex(left(text, 80), '[ \n]+'))::BIGINT AS e, text ILIKE '%THE%' AS f FROM documents""")
+@query(r"""SELECT doc_id, regexp_extract(text, '([A-Za-z]+)[ .,]', 1) AS a, regexp_matches(text, 't.e') AS b, len(regexp_extract_all(text, '[aeiou]+'))::BIGINT AS c, md5(regexp_replace(text, '[^a-z]+', '_', 'g')) AS d, len(string_split_regex(text, '[ \n]+'))::BIGINT AS e, text ILIKE '%THE%' AS f FROM documents""")
 def builtin_regex(t: Tables) -> DataFrame:
     c = F.col("text")
-    return t.documents.select("doc_id", F.regexp_extract(c, "([A-Za-z]+)[ .,]", 1).alias("a"), F.regexp_like(c, F.lit("t.e")).alias("b"), F.regexp_count(c, F.lit("[aeiou]+")).cast("long").alias("c"), F.regexp_replace(F.left(c, F.lit(60)), "[^a-z]+", "_").alias("d"), F.size(F.split(F.left(c, F.lit(80)), "[ \n]+", -1)).cast("long").alias("e"), c.ilike("%THE%").alias("f"))
+    return t.documents.select("doc_id", F.regexp_extract(c, "([A-Za-z]+)[ .,]", 1).alias("a"), F.regexp_like(c, F.lit("t.e")).alias("b"), F.regexp_count(c, F.lit("[aeiou]+")).cast("long").alias("c"), F.md5(F.regexp_replace(c, "[^a-z]+", "_")).alias("d"), F.size(F.split(c, "[ \n]+", -1)).cast("long").alias("e"), c.ilike("%THE%").alias("f"))
 
 
 @query("""SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS b, CAST(floor(p_retailprice) AS BIGINT) AS c, round(sqrt(p_retailprice), 8) AS d, round(cbrt(p_retailprice), 8) AS e, round(exp(p_size / 50.0), 8) AS f, round(ln(p_retailprice), 8) AS g, round(pow(p_size, 1.5), 6) AS h, round(sin(p_size) + cos(p_size) + atan(p_size), 8) AS i, round(degrees(p_size / 10.0), 6) AS j, round(radians(p_size), 8) AS k, CAST(sign(p_size - 25) AS DOUBLE) AS l, p_size % 7 AS m, factorial(p_size % 10)::BIGINT AS n, p_size & 6 AS p, p_size | 8 AS q, xor(p_size, 5) AS r, p_size << 2 AS s, bit_count(p_size)::BIGINT AS t, round(atan2(p_size, 3), 8) AS u, round(tanh(p_size / 20.0), 8) AS v FROM part""")
@@ -836,11 +888,213 @@ def sql_correlated_scalar(t: Tables) -> DataFrame:
 def stream_tumbling(t: Tables) -> DataFrame:
     schema = t.events.schema
     stream = files.stream(t.spark, f"{t.sf_dir}/event*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = event_windows.run_to_table(event_windows.windowed(stream, "ts", "1 day", F.count("*").alias("n"), by=["event_type"]), "stream_tumbling_result")
+    out = event_windows.run_to_table(event_windows.windowed(stream, "ts", "1 day", F.count("*").alias("n"), by=["event_type"], late="1 day"), "stream_tumbling_result")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_deduplicated(t: Tables) -> DataFrame:
-    stream = files.stream(t.spark, f"{t.sf_dir}/event*.parquet", t.events.schema).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return event_windows.run_to_table(stream, "stream_deduplicated_result", "append")
+    """Each user's kinds of events by day, once: state goes as the watermark passes, a day after."""
+    stream = files.stream(t.spark, f"{t.sf_dir}/event*.parquet", t.events.schema).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("ts").cast("date").alias("day"))
+    once = event_windows.deduplicated(stream, ["user_id", "event_type", "day"], "ts", "1 day").select("user_id", "event_type", "day")
+    return event_windows.run_to_table(once, "stream_deduplicated_result", "append")
+
+
+# Operators in depth: sides of joins, frames, ranks, formats, shapes
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(t: Tables) -> Pipe:
+    return t.pipe("region").join(t.nation).select("r_name", "n_name")
+
+
+@query("SELECT p_partkey, p_size BETWEEN SYMMETRIC 40 AND p_partkey % 50 AS inside FROM part".replace("BETWEEN SYMMETRIC 40 AND p_partkey % 50", "BETWEEN least(40, p_partkey % 50) AND greatest(40, p_partkey % 50)"))
+def scalar_between_symmetric(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", numbers.between_symmetric(F.col("p_size"), F.lit(40), F.col("p_partkey") % 50).alias("inside"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def source_csv(t: Tables) -> DataFrame:
+    """The customers, written as CSV with a header and read with their schema."""
+    path = spool.folder(t.spark, "customers")
+    files.copy_to(t.customer, path, "csv", header="true")
+    return files.read_csv(t.spark, path, t.customer.schema)
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def source_partitioned_copy(t: Tables) -> DataFrame:
+    """Events written by type, and read by a filter that prunes folders."""
+    path = spool.folder(t.spark, "events")
+    files.copy_to(t.events.select("user_id", "event_type"), path, "json", partition_by=["event_type"])
+    read = files.read_json(t.spark, path, "user_id long, event_type string")
+    return read.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)::INTEGER AS pos, n_name AS name, n_nationkey AS id FROM nation")
+def source_json_table(t: Tables) -> DataFrame:
+    nations = t.nation.groupBy("n_regionkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("list"))).alias("doc"))
+    return files.json_table(nations, "doc", "$.list", {"name": ("string", "$.n_name"), "id": ("int", "$.n_nationkey")}, ordinality="pos").drop("doc")
+
+
+@query("SELECT n_regionkey, n_name AS name, n_nationkey AS id FROM nation")
+def source_xml_table(t: Tables) -> DataFrame:
+    row = F.concat(F.lit("<n>"), misc.xml_element("name", F.col("n_name")), misc.xml_element("id", F.col("n_nationkey")), F.lit("</n>"))
+    docs = t.nation.groupBy("n_regionkey").agg(F.concat(F.lit("<r>"), F.array_join(F.collect_list(row), ""), F.lit("</r>")).alias("doc"))
+    return files.xml_table(docs, "doc", "/r/n", {"name": ("string", "name/text()"), "id": ("int", "id/text()")}).drop("doc")
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000 GROUP BY ALL),
+s AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT s.day, last_value(n IGNORE NULLS) OVER (ORDER BY s.day) AS n FROM s LEFT JOIN d ON d.day = s.day""")
+def sort_interpolate(t: Tables) -> DataFrame:
+    days = t.orders.where("o_orderpriority = '1-URGENT' AND o_totalprice > 450000").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    day = lambda s: F.lit(s).cast("date")
+    return sorting.with_fill(days.where("year(day) = 1996"), "day", day("1996-01-01"), day("1997-01-01"), F.expr("INTERVAL 1 DAY"), interpolate=["n"])
+
+
+@query("""SELECT o_custkey, round(sum(o_totalprice), 2) AS first_day, count(*) AS n FROM orders o WHERE o_orderdate = (SELECT min(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey) GROUP BY ALL""")
+def window_keep(t: Tables) -> DataFrame:
+    both = F.struct(F.round(F.sum("o_totalprice"), 2).alias("first_day"), F.count("*").alias("n"))
+    return windows.keep(t.orders, ["o_custkey"], "o_orderdate", both, "x").select("o_custkey", "x.first_day", "x.n")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(avg(l_quantity) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW), 6) AS a, min(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS lo, max(l_quantity) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE TIES) AS hi,
+count(l_quantity) OVER (w ROWS BETWEEN 3 PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS n, round(sum(l_quantity) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE NO OTHERS), 4) AS s
+FROM (SELECT *, l_quantity > 25 AS big FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)""")
+def window_exclude_frames(t: Tables) -> DataFrame:
+    df, by, order = t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    for name, agg, what, lo, hi in (("a", "avg", "current row", -2, 1), ("lo", "min", "group", first, 0), ("hi", "max", "ties", -2, 2), ("n", "count", "group", -3, last), ("s", "sum", "no others", -1, 1)):
+        df = windows.exclude(df, "l_quantity", name, by, order, what, lo, hi, agg)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", F.round("a", 6).alias("a"), "lo", "hi", "n", F.round("s", 4).alias("s"))
+
+
+@query("""SELECT event_id, count(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS n_group, round(sum(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES), 4) AS no_ties FROM (SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 > 0 THEN round(value, 3) END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")
+def window_exclude_ties(t: Tables) -> DataFrame:
+    df = t.events.withColumn("v", F.when(F.col("event_id") % 5 > 0, F.round("value", 3)))
+    a = windows.exclude(df, "v", "n_group", ["user_id"], ["event_type"], "group", agg="count")
+    return windows.exclude(a, "v", "no_ties", ["user_id"], ["event_type"], "ties").select("event_id", "n_group", F.round("no_ties", 4).alias("no_ties"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts AT TIME ZONE 'America/New_York') AS BIGINT) AS instant, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo' AS tokyo, (ts AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'Australia/Sydney' AS sydney FROM events")
+def temporal_at_time_zone(t: Tables) -> DataFrame:
+    ts = F.col("ts")
+    return t.events.select("event_id", F.unix_micros(temporal.at_time_zone(ts, "America/New_York")).alias("instant"), temporal.at_time_zone(temporal.at_time_zone(ts, "UTC"), "Asia/Tokyo", has_zone=True).alias("tokyo"), temporal.between_zones(ts, "Europe/Berlin", "Australia/Sydney").alias("sydney"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer")
+def star_ilike(t: Tables) -> DataFrame:
+    return misc.star(t.customer, ilike="C_%key")
+
+
+@query("SELECT 'passed on' AS path, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'inserted', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'exported', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'teed', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+def pipe_tee_insert_export(t: Tables) -> DataFrame:
+    """A table, files and a sink get the rows that go on."""
+    name, at, side = f"teed_{spool.folder(t.spark, 'x')[-12:]}", spool.folder(t.spark, "exported"), spool.folder(t.spark, "side")
+    p = t.pipe("orders").where("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
+    tables.create_table_as(p.df.limit(0), name)
+    went = p.tee(lambda df: df.write.parquet(side)).insert(name).export(at, "json").df
+    table = spool.written(t.spark.table(name))
+    tables.drop(t.spark, name)
+    parts = {"passed on": went, "inserted": table, "exported": files.read_json(t.spark, at, went.schema), "teed": files.read_parquet(t.spark, side)}
+    return functools.reduce(DataFrame.union, [df.select(F.lit(k).alias("path"), "o_orderkey", "o_totalprice") for k, df in parts.items()])
+
+
+@query("SELECT c_nationkey, n, row_number() OVER (ORDER BY n DESC, c_nationkey)::BIGINT AS place FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL)")
+def pipe_aggregate_ordered(t: Tables) -> DataFrame:
+    """Aggregate elements with an order of their own: the place of each row in the result."""
+    out = t.pipe("customer").aggregate("count(*) AS n", group_by="c_nationkey", order_by=["n DESC", "c_nationkey"])
+    return joins.numbered(out.df, [F.col("n").desc(), F.col("c_nationkey")], "place", parts=4)
+
+
+@query("""SELECT * FROM (VALUES (0, 'FROM orders', 'o_orderkey', 'bigint'), (1, 'SELECT', 'o_orderkey', 'bigint'), (1, 'SELECT', 'net', 'double'), (2, 'EXTEND', 'o_orderkey', 'bigint'), (2, 'EXTEND', 'net', 'double'), (2, 'EXTEND', 'large', 'boolean'), (3, 'AGGREGATE', 'large', 'boolean'), (3, 'AGGREGATE', 'n', 'bigint')) v(stage, name, col, kind)""")
+def shape_stages(t: Tables) -> DataFrame:
+    """Columns after each stage, from Spark's analysis alone."""
+    p = Pipe(t.orders.select("o_orderkey"), head="FROM orders")
+    p = Pipe(t.orders, p.stages).select("o_orderkey", "o_totalprice * 0.9D AS net").extend("net > 100000 AS large").aggregate("count(*) AS n", group_by="large")
+    return files.values(t.spark, [(i, s.name, f.name, f.dataType.simpleString()) for i, s in enumerate(p.stages) for f in s.schema], "stage int, name string, col string, kind string")
+
+
+@query("""SELECT * FROM (VALUES ('k', 'customer.c_custkey'), ('k', 'orders.o_custkey'), ('n', 'customer.c_custkey'), ('n', 'orders.o_custkey'), ('total', 'customer.c_custkey'), ('total', 'orders.o_custkey'), ('total', 'orders.o_totalprice')) v(output, source)""")
+def shape_dependencies(t: Tables) -> DataFrame:
+    def build(customer: DataFrame, orders: DataFrame) -> DataFrame:
+        both = customer.join(orders, customer["c_custkey"] == orders["o_custkey"])
+        aggs = [F.count("*").alias("n")] + [F.sum("o_totalprice").alias("total")] * ("o_totalprice" in orders.columns)
+        return both.groupBy(F.col("c_custkey").alias("k")).agg(*aggs)
+
+    found = shape.dependencies(build, {"customer": t.customer.select("c_custkey", "c_name"), "orders": t.orders.select("o_custkey", "o_totalprice")})
+    return files.values(t.spark, [(o, s) for o, sources in found.items() for s in sources], "output string, source string")
+
+
+@query("""SELECT * FROM (VALUES ('same', 'SATISFIES', '', '', ''), ('more', 'HAS_ADDITIONAL', '', 'n_regionkey', ''), ('less', 'HAS_LESS', 'n_comment', 'n_regionkey', ''), ('type', 'HAS_LESS', '', 'n_regionkey', 'n_name'), ('null', 'HAS_LESS', '', 'n_regionkey', 'n_nationkey')) v(name, verdict, missing, additional, mismatched)""")
+def shape_compare(t: Tables) -> DataFrame:
+    two = {"N_NATIONKEY": "int", "n_name": "string"}
+    wanted = {"same": {**two, "n_regionkey": shape.ANY}, "more": two, "less": {**two, "n_comment": "string"}, "type": {"n_nationkey": "int", "n_name": "double"}, "null": {"n_nationkey": shape.field_of("n_nationkey", "int", False), "n_name": "string"}}
+    found = {k: shape.compare(t.nation.schema, v) for k, v in wanted.items()}
+    return files.values(t.spark, [(k, c.verdict.name, ",".join(c.missing), ",".join(c.additional), ",".join(m[0] for m in c.mismatched)) for k, c in found.items()], "name string, verdict string, missing string, additional string, mismatched string")
+
+
+@query("""SELECT * FROM (VALUES ('k', false), ('v', true), ('doubled', true), ('filled', false), ('n', false), ('other', true)) v(col, may_be_null)""")
+def shape_nullability(t: Tables) -> DataFrame:
+    """Which columns may be null, from declared slots through a left join, expressions and windows."""
+    text = "SELECT a.k, a.v, a.v * 2 AS doubled, coalesce(a.v, 0) AS filled, count(*) OVER (PARTITION BY a.k) AS n, b.k AS other FROM {a} a LEFT JOIN {b} b ON a.k = b.k"
+    slot = shape.StructType([shape.field_of("k", "int", False), shape.field_of("v", "int")])
+    found = shape.nullability(shape.Fragment(text, slots=("a", "b")).shape(t.spark, {"a": slot, "b": slot}))
+    return files.values(t.spark, list(found.items()), "col string, may_be_null boolean")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL")
+def shape_fragment(t: Tables) -> DataFrame:
+    """A query as a value, bound to a table and a parameter."""
+    f = shape.Fragment("SELECT o_orderstatus, count(*) AS n FROM {rows} WHERE o_totalprice > :least GROUP BY o_orderstatus", ("least",), ("rows",), {"least": 100000})
+    return f.bind(t.spark, {"rows": t.orders}, least=300000)
+
+
+@query("""SELECT '{"c_mktsegment":"' || c_mktsegment || '","n":' || count(*) || '}' AS line FROM customer WHERE c_acctbal > 1000 GROUP BY c_mktsegment""")
+def session_query(t: Tables) -> DataFrame:
+    with Engine(t.spark) as e:
+        return e.register(customer_rows=t.customer).query("SELECT c_mktsegment, count(*) AS n FROM customer_rows WHERE c_acctbal > :least GROUP BY c_mktsegment", args={"least": 1000})
+
+
+@query("""WITH s AS (SELECT user_id, event_id, row_number() OVER w AS i, value > lag(value) OVER w AS up FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, coalesce(up, false) ORDER BY i) AS g FROM s), m AS (SELECT *, count(*) OVER (PARTITION BY user_id, g) AS n, min(i) OVER (PARTITION BY user_id, g) AS lo FROM g WHERE up)
+SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY lo)::INTEGER AS match_number, 'RISE' AS classifier FROM m WHERE n >= 2""")
+def match_all_rows(t: Tables) -> DataFrame:
+    """All rows of each rise of two steps or more, with the number of the match and the symbol."""
+    rise = {"RISE": lambda w: F.coalesce(F.col("value") > F.lag("value").over(w), F.lit(False))}
+    return matching.match_recognize(t.events, ["user_id"], ["ts", "event_id"], rise, "RISE{2,}", all_rows=True).select("user_id", "event_id", "match_number", "classifier")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_id, 2) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id AS first_event, last AS last_event FROM s WHERE a = 'view' AND b = 'click' AND c IN ('view', 'click')""")
+def match_overlapping(t: Tables) -> DataFrame:
+    """A view, a click and either of both; the search goes on at the next row, so matches overlap."""
+    symbols = {"VIEW": "event_type = 'view'", "CLICK": "event_type = 'click'"}
+    found = matching.match_recognize(t.events, ["user_id"], ["ts", "event_id"], symbols, "VIEW CLICK (VIEW|CLICK)", {"first_event": ("first", "event_id", ""), "last_event": ("last", "event_id", "")}, after="next row")
+    return found.select("user_id", "first_event", "last_event")
+
+
+@query("""WITH RECURSIVE tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 4 + 1 END AS parent FROM part WHERE p_partkey // 4 + 1 < p_partkey OR p_partkey <= 1),
+h AS (SELECT id, 1 AS level, [id] AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, h.level + 1, list_append(h.path, t.id) FROM tree t JOIN h ON t.parent = h.id)
+SELECT id, level, row_number() OVER (ORDER BY path) AS depth_first, row_number() OVER (ORDER BY level, path) AS breadth_first FROM h""")
+def recursive_search(t: Tables) -> DataFrame:
+    tree = t.part.selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 1 THEN p_partkey DIV 4 + 1 END AS parent").where("parent < id OR parent IS NULL")
+    found = recursion.connect_by(tree, "id", "parent", "parent IS NULL")
+    a, b = recursion.search_order(found, "id", "depth_first"), recursion.search_order(found, "id", "breadth_first", depth_first=False)
+    return a.join(b.select("id", "breadth_first"), "id").select("id", "level", "depth_first", "breadth_first")
+
+
+@query("SELECT 'repeated rows count' AS what, true AS holds UNION ALL SELECT 'order does not', true UNION ALL SELECT 'values do', true")
+def agg_hash(t: Tables) -> DataFrame:
+    """Hashes of groups of rows: of a group and its rows twice, in two orders, and with one value changed."""
+    h = lambda df: df.agg(numbers.hash_agg(F.col("c_custkey"), F.col("c_name")).alias("h"))
+    one, twice, turned, other = h(t.customer), h(t.customer.union(t.customer)), h(t.customer.orderBy(F.desc("c_name"))), h(t.customer.withColumn("c_name", F.when(F.col("c_acctbal") < 9000, F.col("c_name")).otherwise("x")))
+    both = one.crossJoin(twice.withColumnRenamed("h", "h2")).crossJoin(turned.withColumnRenamed("h", "h3")).crossJoin(other.withColumnRenamed("h", "h4"))
+    return both.select(F.inline(F.array(*[F.struct(F.lit(n).alias("what"), c.alias("holds")) for n, c in (("repeated rows count", F.col("h") != F.col("h2")), ("order does not", F.col("h") == F.col("h3")), ("values do", F.col("h") != F.col("h4")))])))
+
+
+@query("""SELECT * FROM (VALUES ('sum', true), ('bogus_function', false), ('my_own', true)) v(function, known)""")
+def table_registry(t: Tables) -> DataFrame:
+    names = ["sum", "bogus_function", "my_own"]
+    lacking = tables.unmappable(t.spark, names, {"MY_OWN": F.sum})
+    return files.values(t.spark, [(n, n not in lacking) for n in names], "function string, known boolean")

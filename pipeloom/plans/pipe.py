@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.spool import written
+
 Expr = str | Column
 #: Table functions for the CALL stage, by name.
 TABLE_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
@@ -194,8 +196,15 @@ class Pipe:
         out = f(self.df, *args, **named)
         return self._next("CALL", out.alias(alias) if alias else out, function)
 
-    def tablesample(self, fraction: float, seed: int | None = None, replace: bool = False) -> Pipe:
-        return self._next("TABLESAMPLE", self.df.sample(replace, fraction, seed), fraction)
+    def tablesample(self, fraction: float | None = None, seed: int | None = None, replace: bool = False, rows: int | None = None, bucket: tuple[int, int, Sequence[str]] | None = None) -> Pipe:
+        """A fraction of the rows, or a number of them (by a seeded hash of each row, so runs agree), or a bucket:
+        (number from 1, of how many, columns whose hash deals rows to buckets)."""
+        from ..sources.tables import sample_bucket, sample_rows
+
+        if (fraction is not None) + (rows is not None) + (bucket is not None) != 1:
+            raise PipeError("TABLESAMPLE", len(self.stages), "one of fraction, rows and bucket must be given")
+        out = sample_rows(self.df, rows, seed or 0) if rows is not None else sample_bucket(self.df, *bucket) if bucket else self.df.sample(replace, fraction, seed)
+        return self._next("TABLESAMPLE", out, fraction or rows or bucket)
 
     def pivot(self, group_by: Sequence[str], on: str, values: Sequence[object], *aggs: Expr) -> Pipe:
         return self._next("PIVOT", self.df.groupBy(*group_by).pivot(on, list(values)).agg(*map(column, aggs)), (on, values))
@@ -205,11 +214,20 @@ class Pipe:
         return self._next("UNPIVOT", out if include_nulls else out.where(F.col(value).isNotNull()), values)
 
     def fork(self, *branches: Callable[[Pipe], Pipe]) -> list[DataFrame]:
-        """Several continuations of one input, which is computed once."""
-        kept = Pipe(self.df.cache(), self.stages)
+        """Several continuations of one input, which is computed once and stands in the shared folder for all of them."""
+        kept = Pipe(written(self.df, "fork"), self.stages)
         return [b(kept).df for b in branches]
 
     def tee(self, sink: Callable[[DataFrame], None]) -> Pipe:
-        """Hand the rows to a sink and go on with them."""
-        sink(self.df)
-        return self._next("TEE", self.df)
+        """Hand the rows to a sink and go on with the same ones: they are computed once."""
+        kept = written(self.df, "tee")
+        sink(kept)
+        return self._next("TEE", kept)
+
+    def insert(self, table: str, overwrite: bool = False) -> Pipe:
+        """Add the rows to a table, columns by name, and go on with them."""
+        return self.tee(lambda df: df.select(*df.sparkSession.table(table).columns).write.insertInto(table, overwrite))
+
+    def export(self, path: str, kind: str = "parquet", mode: str = "error", **options: str) -> Pipe:
+        """Write the rows as files and go on with them."""
+        return self.tee(lambda df: df.write.format(kind).mode(mode).options(**options).save(path))

@@ -30,8 +30,9 @@ class Comparison:
 ANY = None
 
 
-def compare(actual: StructType, expected: Mapping[str, DataType | str | None]) -> Comparison:
-    """Whether a schema has all expected columns (names regardless of case) with their types; a wrong type counts as missing."""
+def compare(actual: StructType, expected: Mapping[str, DataType | str | StructField | None]) -> Comparison:
+    """Whether a schema has all expected columns (names regardless of case) with their types; a wrong type counts as missing,
+    and so does a column that may be null where a field that may not is expected."""
     have = {f.name.lower(): f for f in actual}
     missing, wrong = [], []
     for name, kind in expected.items():
@@ -39,9 +40,12 @@ def compare(actual: StructType, expected: Mapping[str, DataType | str | None]) -
         if f is None:
             missing.append(name)
         elif kind is not ANY:
-            want = kind if isinstance(kind, str) else kind.simpleString()
+            strict = isinstance(kind, StructField) and not kind.nullable
+            want = kind if isinstance(kind, str) else (kind.dataType if isinstance(kind, StructField) else kind).simpleString()
             if f.dataType.simpleString() != want:
                 wrong.append((name, want, f.dataType.simpleString()))
+            elif strict and f.nullable:
+                wrong.append((name, f"{want} not null", want))
     known = {n.lower() for n in expected}
     more = [f.name for f in actual if f.name.lower() not in known]
     verdict = Verdict.HAS_LESS if missing or wrong else Verdict.HAS_ADDITIONAL if more else Verdict.SATISFIES
@@ -52,6 +56,12 @@ def describe(schema: StructType) -> list[dict[str, object]]:
     return [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in schema]
 
 
+def nullability(schema: StructType) -> dict[str, bool]:
+    """Whether each column of an analysed query may be null, by Spark's analysis of it; nothing runs. Bind slots to schemas
+    that say which of their columns may (``Fragment.shape``), and it follows through expressions, joins and aggregates."""
+    return {f.name: f.nullable for f in schema}
+
+
 def observed_nullability(df: DataFrame) -> dict[str, bool | None]:
     """False: no null is possible; True: there are nulls; None: possible, none there. One pass over the columns that may be null."""
     may = [f.name for f in df.schema if f.nullable]
@@ -113,6 +123,4 @@ def dependencies(build: Callable[..., DataFrame], sources: Mapping[str, DataFram
 
 
 def field_of(name: str, kind: str, nullable: bool = True) -> StructField:
-    from pyspark.sql.types import _parse_datatype_string
-
-    return StructField(name, _parse_datatype_string(kind), nullable)
+    return StructField(name, StructType.fromDDL(f"x {kind}")["x"].dataType, nullable)

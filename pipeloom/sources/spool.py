@@ -8,13 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the one that spark.checkpoint.dir names (a local one where it is unset)."""
+def shared(spark: SparkSession) -> str:
+    """The application's folder in the one that spark.checkpoint.dir names. Only in local mode, where every task sees the
+    driver's disk, may that be unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="pipeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written between steps; results that still read it must have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "spool") -> DataFrame:

@@ -65,13 +65,14 @@ def unmappable(spark: SparkSession, names: Sequence[str], known: Mapping[str, Ca
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """TABLESAMPLE (n ROWS): n random rows, by a seeded hash of each row; equal rows stay or go by order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.struct(*df.columns))).limit(n)
+    """TABLESAMPLE (n ROWS): n random rows, those of the least seeded MD5 of the row's values as text."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).cast("binary"))).limit(n)
 
 
 def sample_bucket(df: DataFrame, bucket: int, of: int, on: Sequence[str]) -> DataFrame:
-    """TABLESAMPLE (BUCKET bucket OUT OF of ON on)."""
-    return df.where(F.pmod(F.hash(*on), F.lit(of)) == bucket - 1)
+    """TABLESAMPLE (BUCKET bucket OUT OF of ON on): rows are dealt by the first 60 bits of an MD5 of their values as text."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in on])
+    return df.where(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % of == bucket - 1)
 
 
 def hinted(df: DataFrame, hint: str, *parameters: object) -> DataFrame:

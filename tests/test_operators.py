@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pipeloom.functions import numbers
 from pipeloom.operators import aggregates, changes, joins, matching, recursion, sets, sorting, windows
 from pipeloom.sources import files
 from pipeloom.streaming import windows as event_windows
@@ -157,3 +159,67 @@ def test_stream_results_stand_in_shared_files(spark, tmp_path):
     assert counts.inputFiles() and keys.inputFiles()
     (tmp_path / "none").mkdir()
     assert event_windows.run_to_table(spark.readStream.schema("k int").parquet(str(tmp_path / "none")), "stream_none", "append").count() == 0
+
+
+def test_merge_looks_at_matched_rows_only(spark):
+    target = spark.createDataFrame([(1, 10), (None, 20)], "k int, v int")
+    free = spark.createDataFrame([(None, 1), (None, 2), (7, 3), (7, 4), (1, 5)], "k int, v int")
+    clause = [changes.Matched({"v": "t.v + s.v"})]
+    out = changes.merge(target, free, ["k"], clause, {"k": "s.k", "v": "s.v"})
+    assert got(out) == sorted([(1, 15), (None, 20), (None, 1), (None, 2), (7, 3), (7, 4)], key=str)
+    twice = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
+    with pytest.raises(Exception, match="several source rows"):
+        changes.merge(target, twice, ["k"], clause).collect()
+
+
+def test_exclude_keeps_nan_and_digits_to_their_rows(spark):
+    df = spark.createDataFrame([(1, 1e16), (2, 1.0), (3, float("nan")), (4, 2.0)], "o int, v double")
+    seen = {r["o"]: r["s"] for r in windows.exclude(df.where("o <> 1"), "v", "s", [], ["o"]).collect()}
+    assert seen[3] == 3.0 and seen[2] != seen[2]
+    assert {r["o"]: r["s"] for r in windows.exclude(df.where("o <> 3"), "v", "s", [], ["o"]).collect()}[1] == 3.0
+
+
+def test_deep_chains_are_errors_not_losses(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(8)], "id int, parent int")
+    assert recursion.connect_by(chain, "id", "parent", "parent IS NULL", max_depth=8).count() == 8
+    with pytest.raises(ValueError, match="3 levels"):
+        recursion.connect_by(chain, "id", "parent", "parent IS NULL", max_depth=3)
+    with pytest.raises(ValueError, match="3 steps"):
+        recursion.recursive(spark.range(1), lambda d: d.selectExpr("id + 1 AS id").where("id < 8"), max_depth=3)
+
+
+def test_percentiles_by_ranks(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(9))])) for _ in range(300)] + [("one", 4.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(f"p{i}") for i, p in enumerate((0.0, 0.3, 0.5, 0.99))])
+    assert got(aggregates.percentiles(df, ["g"], "v", p0=0.0, p1=0.3, p2=0.5, p3=0.99)) == got(want)
+
+
+def test_patterns_with_names_and_gaps(spark):
+    df = spark.createDataFrame([("x", i, c) for i, c in enumerate("abbxabab")], "p string, i int, c string")
+    define = {"START": "c = 'a'", "NEXT": "c = 'b'"}
+    one = matching.match_recognize(df, ["p"], ["i"], define, "START NEXT+", {"lo": ("first", "i", ""), "n": ("count", "", "NEXT")})
+    assert got(one.select("match_number", "lo", "n")) == [(1, 0, 2), (2, 4, 1), (3, 6, 1)]
+    rows = matching.match_recognize(df, ["p"], ["i"], define, "START NEXT+", all_rows=True)
+    assert [(r["i"], r["match_number"], r["classifier"]) for r in rows.orderBy("i").collect()][:3] == [(0, 1, "START"), (1, 1, "NEXT"), (2, 1, "NEXT")] and rows.count() == 7
+    for bad in ({"pattern": "OTHER"}, {"pattern": "START", "after": "never"}):
+        with pytest.raises(ValueError):
+            matching.match_recognize(df, ["p"], ["i"], define, **bad)
+
+
+def test_hash_of_repeated_rows(spark):
+    one, two = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (1,), (2,)], "x int")
+    h = lambda df: df.agg(numbers.hash_agg(F.col("x"))).first()[0]
+    assert h(one) != h(two) and h(two) != h(two.limit(0)) and h(one) == h(one.orderBy(F.desc("x")))
+
+
+def test_spooled_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from pipeloom.sources import spool
+
+    kept = spool.written(spark.range(3), "short_lived")
+    assert kept.count() == 3 and Path(spool.shared(spark)).exists()
+    spool.clear(spark)
+    assert not Path(spool.shared(spark)).exists()
