@@ -908,7 +908,7 @@ def join_cross(t: Tables) -> Pipe:
     return t.pipe("region").join(t.nation).select("r_name", "n_name")
 
 
-@query("SELECT p_partkey, p_size BETWEEN SYMMETRIC 40 AND p_partkey % 50 AS inside FROM part".replace("BETWEEN SYMMETRIC 40 AND p_partkey % 50", "BETWEEN least(40, p_partkey % 50) AND greatest(40, p_partkey % 50)"))
+@query("SELECT p_partkey, p_size BETWEEN least(40, p_partkey % 50) AND greatest(40, p_partkey % 50) AS inside FROM part")
 def scalar_between_symmetric(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", numbers.between_symmetric(F.col("p_size"), F.lit(40), F.col("p_partkey") % 50).alias("inside"))
 
@@ -1098,3 +1098,114 @@ def table_registry(t: Tables) -> DataFrame:
     names = ["sum", "bogus_function", "my_own"]
     lacking = tables.unmappable(t.spark, names, {"MY_OWN": F.sum})
     return files.values(t.spark, [(n, n not in lacking) for n in names], "function string, known boolean")
+
+
+# Functions, the rest of the library's own
+
+
+@query(r"""SELECT doc_id, coalesce(list_has_all(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['the', 'and']), false) AS every, coalesce(list_has_any(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['der', 'que']), false) AS some, md5(nfc_normalize(text)) AS nfc, md5(text) AS back, ('0x' || substr(md5(source), 1, 16))::UBIGINT::VARCHAR AS upper64, ('0x' || substr(md5(source), 17, 16))::UBIGINT::VARCHAR AS lower64 FROM documents""")
+def functions_text_more(t: Tables) -> DataFrame:
+    c, no = F.col, F.lit(False)
+    return t.documents.select("doc_id", F.coalesce(text.contains_words(c("text"), "The and"), no).alias("every"), F.coalesce(text.contains_words(c("text"), "der que", every=False), no).alias("some"), F.md5(text.normalize(c("text"), F.lit("NFC"))).alias("nfc"), F.md5(text.decompress_string(text.compress(c("text")))).alias("back"), text.md5_upper64(c("source")).cast("string").alias("upper64"), text.md5_lower64(c("source")).cast("string").alias("lower64"))
+
+
+@query("""SELECT c_custkey, substring(c_name, 0, 5) AS zero, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS capital, c_mktsegment AS points, c_name AS base32, round(jaccard(c_mktsegment, 'MACHINERY'), 8) AS letters, hex(c_mktsegment) AS bytes FROM customer""")
+def functions_text_codes(t: Tables) -> DataFrame:
+    c = F.col
+    seg = c("c_mktsegment")
+    return t.customer.select("c_custkey", text.substring_zero(c("c_name"), 0, 5).alias("zero"), text.initcap_delimited(seg).alias("capital"), text.from_code_points(text.code_points(seg)).alias("points"), text.from_base32(text.to_base32(c("c_name"))).alias("base32"), F.round(text.jaccard_chars(seg, F.lit("MACHINERY")), 8).alias("letters"), F.hex(text.code_points_to_bytes(text.code_points(seg))).alias("bytes"))
+
+
+@query("""WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids, list(round(value, 3) ORDER BY event_id) AS v, list(CASE WHEN event_id % 4 > 0 THEN event_id END ORDER BY event_id) AS gaps, list_sort(list_distinct(list(event_type))) AS k FROM events GROUP BY ALL)
+SELECT user_id, array_to_string(ids[2:], ',') AS without_first, array_to_string(ids[2:3], ',') AS middle, round(list_avg(v), 6) AS mean, len(list_filter(v, lambda x: x > 90)) > 0 AS some, len(list_filter(v, lambda x: x <= 5)) = 0 AS every, greatest(len(ids) - 1, 0)::BIGINT AS pairs, len(list_filter(gaps, lambda x: x IS NULL))::BIGINT AS nulls, array_to_string(list_transform(gaps, lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS in_order, round(len(list_intersect(k, ['click', 'view']))::DOUBLE / len(list_distinct(list_concat(k, ['click', 'view']))), 8) AS jac, list_has_any(k, ['view']) AS any_eq, len(list_filter(k, lambda x: x < 'zzz')) = len(k) AS all_less FROM g""")
+def functions_arrays_more(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "event_id", "event_type", F.round("value", 3).alias("v"), F.when(F.col("event_id") % 4 > 0, F.col("event_id")).alias("gap"))
+    g = e.groupBy("user_id").agg(C.array_agg_nulls("event_id", "event_id").alias("ids"), C.array_agg_nulls("v", "event_id").alias("v"), C.array_agg_nulls("gap", "event_id").alias("gaps"), F.sort_array(F.collect_set("event_type")).alias("k"))
+    join = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",", "-")
+    ids, v, gaps, k, two = F.col("ids"), F.col("v"), F.col("gaps"), F.col("k"), F.array(F.lit("click"), F.lit("view"))
+    return g.select("user_id", join(C.array_remove_at(ids, 0)).alias("without_first"), join(C.array_slice0(ids, 1, 3)).alias("middle"), F.round(C.array_avg(v), 6).alias("mean"), C.array_any(v, lambda x: x > 90).alias("some"), C.array_all(v, lambda x: x > 5).alias("every"), F.size(C.array_windows(ids, 2)).cast("long").alias("pairs"), F.size(F.filter(gaps, lambda x: x.isNull())).cast("long").alias("nulls"), join(gaps).alias("in_order"), F.round(C.jaccard(k, two), 8).alias("jac"), joins.in_any(F.lit("view"), k).alias("any_eq"), joins.in_all(F.lit("zzz"), k, ">").alias("all_less"))
+
+
+@query("""SELECT event_type, string_agg(CAST(user_id AS VARCHAR) || ',' || event_id, ',' ORDER BY event_id) AS flat FROM events GROUP BY ALL""")
+def functions_array_concat(t: Tables) -> DataFrame:
+    pairs = t.events.select("event_type", "event_id", F.array("user_id", "event_id").alias("a"))
+    return pairs.groupBy("event_type").agg(C.array_concat_agg("a", "event_id").alias("a")).select("event_type", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("flat"))
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, array_to_string(list_sort(list_filter(list_distinct(list(event_type)), lambda x: x IN ('view', 'click'))), ',') AS picked, array_to_string(list_sort(list_filter(list_distinct(list(event_type)), lambda x: x NOT IN ('view', 'click'))), ',') AS rest FROM events GROUP BY ALL""")
+def functions_maps(t: Tables) -> DataFrame:
+    m = t.events.groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("m"))
+    keys = lambda x: F.array_join(F.sort_array(F.map_keys(x)), ",")
+    return m.select("user_id", F.coalesce(C.get_ignore_case(F.col("m"), "CLICK"), F.lit(0)).alias("clicks"), keys(C.map_pick(F.col("m"), "view", "click")).alias("picked"), keys(C.map_without(F.col("m"), "view", "click")).alias("rest"))
+
+
+@query("""SELECT event_id, event_id % 3 > 0 AS has_b, true AS has_none, false AS has_other, 'x' || event_type AS second, true AS holds_one, event_id % 3 > 0 AS all_keys, '{"a":{"x":' || user_id || ',"y":null},"l":[1,"x' || event_type || '",null],"n":7' || CASE WHEN event_id % 3 > 0 THEN ',"b":' || event_id || '}' ELSE '}' END AS put, '{"a":{"x":' || user_id || '},"l":[1,"x' || event_type || '"]' || CASE WHEN event_id % 3 > 0 THEN ',"b":' || event_id || '}' ELSE '}' END AS stripped, 'a,a.x,a.y' || CASE WHEN event_id % 3 > 0 THEN ',b' ELSE '' END || ',l,n' AS keys2, user_id = 3 AS three, 4 AS longer FROM events""")
+def functions_json_more(t: Tables) -> DataFrame:
+    j = F.concat(F.lit('{"a":{"x":'), F.col("user_id").cast("string"), F.lit(',"y":null},"l":[1,"x'), F.col("event_type"), F.lit('",null],"n":null'), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(',"b":'), F.col("event_id").cast("string"))).otherwise(""), F.lit("}"))
+    df, j = t.events.select("event_id", j.alias("j")), F.col("j")
+    squeeze = lambda x: F.regexp_replace(x, r"(?<=[:,]) ", "")
+    return df.select("event_id", C.json_exists(j, "$.b").alias("has_b"), C.json_exists(j, "$.n").alias("has_none"), C.json_exists(j, "$.a.z").alias("has_other"), F.get(C.json_array(j, "$.l"), F.lit(1)).alias("second"), C.json_array_contains(j, 1, "$.l").alias("holds_one"), C.json_has_all_keys(j, "a", "b").alias("all_keys"), squeeze(C.json_set(j, "$.n", 7)).alias("put"), squeeze(C.json_strip_nulls(C.json_remove(j, "$.zz"), arrays=True)).alias("stripped"), F.array_join(C.json_keys_at_depth(j, 2), ",").alias("keys2"), C.json_contains(j, '{"a":{"x":3}}').alias("three"), F.size(C.json_array(C.json_array_append(j, "$.l", 5), "$.l")).alias("longer"))
+
+
+@query("""SELECT p_partkey, round(1 / sinh(p_size / 10.0), 8) AS csch, round(1 / tanh(p_size / 10.0), 8) AS coth, (p_size > 25) <> (p_retailprice > 950) AS either, isinf(CASE WHEN p_size > 40 THEN 'inf'::DOUBLE ELSE 1 END) AS inf, CASE WHEN p_size % 5 > 0 THEN least(p_size, 20) END AS strict, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS valx, p_partkey // 2 AS halves FROM part""")
+def functions_numbers_more(t: Tables) -> DataFrame:
+    x = F.col("p_size")
+    some = F.when(x % 5 > 0, F.lit(20))
+    return t.part.select("p_partkey", F.round(numbers.csch(x / 10.0), 8).alias("csch"), F.round(numbers.coth(x / 10.0), 8).alias("coth"), numbers.xor(x > 25, F.col("p_retailprice") > 950).alias("either"), numbers.is_inf(F.when(x > 40, F.lit(float("inf"))).otherwise(1.0)).alias("inf"), numbers.least_strict(x, some).alias("strict"), numbers.regr_valx(some, F.col("p_retailprice")).alias("valx"), compat.integer_division(F.col("p_partkey"), F.lit(2)).alias("halves"))
+
+
+@query("""SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], b::DOUBLE[]), 6) AS cos, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(embedding[i]::DOUBLE - b[i]::DOUBLE))), 4) AS man, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings, (SELECT embedding AS b FROM embeddings WHERE vec_id = 1)""")
+def functions_distances(t: Tables) -> DataFrame:
+    one = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("b"))
+    a, b = F.col("embedding"), F.col("b")
+    return t.embeddings.crossJoin(F.broadcast(one)).select("vec_id", F.round(numbers.cosine_distance(a, b), 6).alias("cos"), F.round(numbers.manhattan_distance(a, b), 4).alias("man"), F.round(numbers.l2_norm(a), 6).alias("norm"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 400 < 256 THEN (10 * 256 + c_nationkey) * 65536 + (c_custkey // 400 % 256) * 256 + c_custkey % 400 END AS number, CASE WHEN c_custkey % 400 < 256 THEN '10.' || c_nationkey || '.' || c_custkey // 400 % 256 || '.' || c_custkey % 400 END AS again, CASE WHEN c_custkey % 400 < 256 THEN c_nationkey < 4 END AS inside FROM customer""")
+def functions_addresses(t: Tables) -> DataFrame:
+    """Addresses of customers, some of them malformed."""
+    ip = F.concat_ws(".", F.lit("10"), "c_nationkey", F.expr("c_custkey DIV 400 % 256"), F.col("c_custkey") % 400)
+    return t.customer.select("c_custkey", misc.ipv4_number(ip).alias("number"), F.when(misc.ipv4_number(ip).isNotNull(), misc.ipv4_text(misc.ipv4_number(ip))).alias("again"), misc.ipv4_in(ip, "10.0.0.0/14").alias("inside"))
+
+
+@query(r"""SELECT page_id, CASE WHEN h LIKE '%.co.uk' OR h = 'co.uk' THEN 'co.uk' ELSE regexp_extract(h, '[^.]+$') END AS suffix, CASE WHEN h LIKE '%.co.uk' THEN regexp_extract(h, '[^.]+\.co\.uk$') WHEN h LIKE '%.%' THEN regexp_extract(h, '[^.]+\.[^.]+$') END AS domain FROM (SELECT *, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS h FROM pages)""")
+def functions_hosts(t: Tables) -> DataFrame:
+    known = ["uk", "co.uk"]
+    return t.pages.select("page_id", misc.public_suffix(F.col("url"), known).alias("suffix"), misc.registered_domain(F.col("url"), known).alias("domain"))
+
+
+@query("""SELECT o_orderkey, time_bucket(INTERVAL 10 DAY, o_orderdate, TIMESTAMP '1992-01-01') AS bin, CAST(strftime(o_orderdate, '%U') AS INTEGER) AS week0, CAST(o_orderdate AS DATE) - CAST((isodow(o_orderdate) + 5) % 7 + CASE WHEN (isodow(o_orderdate) + 5) % 7 = 0 THEN 7 ELSE 0 END AS INTEGER) AS tuesday, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS INTEGER) + 719528 AS days, CAST(datesub('month', o_orderdate, TIMESTAMP '1999-01-15') AS INTEGER) AS months, o_orderkey % 100 + (o_orderkey % 200000) // 86400 AS d, (o_orderkey % 200000) % 86400 AS rest FROM orders""")
+def functions_temporal_more(t: Tables) -> DataFrame:
+    d, key = F.col("o_orderdate"), F.col("o_orderkey")
+    days, rest = temporal.justify_hours(key % 100, key % 200000)
+    return t.orders.select("o_orderkey", temporal.date_bin(d, 864000, "1992-01-01 00:00:00").alias("bin"), temporal.week_of_year(d).alias("week0"), temporal.previous_day(d, "TUE").alias("tuesday"), temporal.to_days(d).alias("days"), temporal.months_between_whole(F.lit("1999-01-15 00:00:00").cast("timestamp_ntz"), d).alias("months"), days.alias("d"), rest.alias("rest"))
+
+
+@query("""SELECT c_nationkey, coalesce(max(c_acctbal) FILTER (WHERE c_acctbal > 9990), 0) AS rich, count(DISTINCT c_mktsegment) AS segments, min(c_custkey) AS first_key, count(*) FILTER (WHERE c_acctbal > 9900) = 1 AS just_one, nullif(count(*) FILTER (WHERE c_acctbal > 9950), 0) AS few FROM customer GROUP BY ALL""")
+def agg_defaults(t: Tables) -> DataFrame:
+    a, top = aggregates, F.expr("max(c_acctbal) FILTER (WHERE c_acctbal > 9990)")
+    many = F.count_if(F.col("c_acctbal") > 9950)
+    return t.customer.groupBy("c_nationkey").agg(a.agg_or_default(top, 0.0).alias("rich"), a.agg_distinct("count", "c_mktsegment").alias("segments"), windows.keep_first("c_custkey", "c_custkey").alias("first_key"), numbers.boolxor_agg(F.col("c_acctbal") > 9900).alias("just_one"), a.agg_or_null(many, F.when(F.col("c_acctbal") > 9950, 1)).alias("few"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squares FROM embeddings""")
+def agg_array_combinator(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.round(aggregates.agg_array("embedding", 0.0, lambda s, x: s + x.cast("double") * x.cast("double")), 6).alias("squares"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT CAST(p_size AS BIGINT) AS x FROM part UNION SELECT CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM r WHERE x > 1) SELECT x FROM r""")
+def recursive_distinct(t: Tables) -> DataFrame:
+    """All numbers that halving the even ones and tripling the odd ones reaches from the parts' sizes."""
+    step = lambda level: level.where("x > 1").selectExpr("CASE WHEN x % 2 = 0 THEN x DIV 2 ELSE 3 * x + 1 END AS x")
+    return recursion.recursive(t.part.selectExpr("bigint(p_size) AS x").distinct(), step, distinct=True)
+
+
+@query("""SELECT user_id, s AS session, count(*) AS n, min(ts) AS began FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS s FROM (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 43200 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL""")
+def window_session_numbers(t: Tables) -> DataFrame:
+    return windows.sessions(t.events, ["user_id"], "ts", 43200).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("began"))
+
+
+@query("""SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer WHERE c_acctbal < -900""")
+def change_insert(t: Tables) -> DataFrame:
+    rows = t.customer.where("c_acctbal < -900").selectExpr("c_acctbal AS bal", "c_custkey AS k")
+    return changes.insert(t.supplier.selectExpr("s_suppkey AS k", "s_name AS name", "s_acctbal AS bal"), rows)
