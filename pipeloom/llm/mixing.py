@@ -111,8 +111,8 @@ def spread(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.
     source_sizes = [r["n"] for r in stats]
     goal = targets(source_sizes, [weights[i % len(weights)] for i in range(len(stats))], budget, max_repeats)
     seats = sainte_lague(goal, np.ceil(goal / block), int(goal.sum() // block)) if goal.sum() > 0 else np.zeros(len(goal), np.int64)
-    rows = [(r["source"], int(n), float(t), int(k), int(min(round(t), max_repeats * n)), int(min(MAX_SHARDS, max(1, -(-n // shard_words))))) for r, n, t, k in zip(stats, source_sizes, goal, seats, strict=True)]
-    sources = df.sparkSession.createDataFrame(rows, "_source string, source_size long, target double, _blocks long, _words long, _shards int")
+    rows = [(r["source"], i, int(n), float(t), int(k), int(min(round(t), max_repeats * n)), int(min(MAX_SHARDS, max(1, -(-n // shard_words))))) for i, (r, n, t, k) in enumerate(zip(stats, source_sizes, goal, seats, strict=True))]
+    sources = df.sparkSession.createDataFrame(rows, "_source string, _number int, source_size long, target double, _blocks long, _words long, _shards int")
     hashed = lambda *cols: F.xxhash64(F.lit(seed), *cols)
     dealt = (
         sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")))  # MAX_SOURCES rows at most
@@ -122,21 +122,21 @@ def spread(df: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_shard")
-        return pd.DataFrame({"_source": pdf["_source"], "_shard": pdf["_shard"], "_quota": shard_quotas(pdf["_n"].to_numpy(np.int64), int(pdf["_blocks"].iloc[0]), int(pdf["_words"].iloc[0]), block, max_repeats), "_n": pdf["_n"]})
+        return pd.DataFrame({"_number": pdf["_number"], "_shard": pdf["_shard"], "_quota": shard_quotas(pdf["_n"].to_numpy(np.int64), int(pdf["_blocks"].iloc[0]), int(pdf["_words"].iloc[0]), block, max_repeats), "_n": pdf["_n"]})
 
-    cells = dealt.groupBy("_source", "_shards", "_blocks", "_words", "_shard").agg(F.sum("size").alias("_n"))  # MAX_SHARDS rows a source at most
-    quota = cells.groupBy("_source").applyInPandas(quotas, "_source string, _shard int, _quota long, _n long")
+    cells = dealt.groupBy("_number", "_shards", "_blocks", "_words", "_shard").agg(F.sum("size").alias("_n"))  # MAX_SHARDS rows a source at most
+    quota = cells.groupBy("_number").applyInPandas(quotas, "_number int, _shard int, _quota long, _n long")
     # The window's order has equal rows only where documents agree in key and size: they are alike.
-    w = Window.partitionBy("_source", "_shard").orderBy("_order", "key", "size")
+    w = Window.partitionBy("_number", "_shard").orderBy("_order", "key", "size")
     placed = dealt.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = placed.join(quota.withColumnsRenamed({"_source": "_qs", "_shard": "_qh"}), F.col("_source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qh")))
+    joined = placed.join(quota, ["_number", "_shard"])  # rows lie as the window has dealt them
 
     n, end, own, t = F.col("_n"), F.col("_end"), F.col("size"), F.col("_quota")
     begin = end - own
     blocks = F.floor((n + (block - 1)) / block).cast("long")
-    pick = F.pmod(F.xxhash64(F.lit("prime"), F.lit(seed), "_source", "_shard"), F.lit(len(_PRIMES))).cast("int")
+    pick = F.pmod(F.xxhash64(F.lit("prime"), F.lit(seed), "source", "_shard"), F.lit(len(_PRIMES))).cast("int")
     prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in _PRIMES]), pick + 1)
-    shift = F.pmod(F.xxhash64(F.lit("shift"), F.lit(seed), "_source", "_shard"), blocks)
+    shift = F.pmod(F.xxhash64(F.lit("shift"), F.lit(seed), "source", "_shard"), blocks)
     rank = lambda b: F.pmod(prime * b + shift, blocks)
     short = blocks * block - n  # words that the last block lacks
 
