@@ -122,7 +122,7 @@ def fitting(n: np.ndarray, s: np.ndarray, p: np.ndarray, q: np.ndarray, percent:
     return p[ok], q[ok], alike[ok]
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of neighbouring rows that agree in columns, and the number of each row's group."""
     rest: list[pa.Table] = []
     for batch in itertools.chain(batches, [None]):
@@ -144,7 +144,7 @@ def _bucket_forests(rows: DataFrame, percent: int) -> DataFrame:
     """Spanning edges of the candidates in each bucket of CROWD classes at most, as stars on their least class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _by_group(batches, ("key",)):
+        for table, group in by_group(batches, ("key",)):
             n, s, k = table.column("n").to_numpy(), _matrix(table, "sketch"), table.column("k").to_numpy()
             p, q = [], []
             for lag in range(1, int(np.bincount(group).max())):
@@ -196,7 +196,7 @@ def _links(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Spanning links (a, b) between the groups comp of the texts in each (cand, y, z); pairs are those of two rows of side 0, or of one of each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _by_group(batches, ("cand", "y", "z")):
+        for table, group in by_group(batches, ("cand", "y", "z")):
             bounds = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
             a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

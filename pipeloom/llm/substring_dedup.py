@@ -17,18 +17,22 @@ it occurs at any other place of any document, the same one included.
 
 Texts are told apart by 128-bit hashes. Copies of a text repeat as a whole, so they need no
 second look, but stand as a place for the windows of other texts. Only texts with a hit are
-shuffled, once each. The number of buckets grows with the bytes of text.
+shuffled, once each.
+
+The number of buckets grows with the bytes of text, one for each BUCKET_BYTES up to MAX_BUCKETS (8 TB); beyond,
+buckets grow, to 95 MB of text at 100 TB, since a chunk should send more than an entry to each. A bucket is what
+a task holds at a time; a task has one of them, or from MAX_TASKS buckets on several that come sorted, one after the other.
 
 Defined results: null, empty and blank texts have no words; documents of fewer than WINDOW
 words lose none; equal rows are places of their own, so both lose all their windows; rows
-without id count like any other; an empty table gives an empty table. Only doc_id and text
-are looked at.
+without id count like any other; an empty table gives an empty table. Whole texts count, of any length:
+a text is part of one chunk. Only doc_id and text are looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,12 +44,12 @@ from pyspark.sql import functions as F
 from . import _words
 from ._store import bitmap, materialise, may_match
 from ._words import SPACED, U, chunks, grams, mix, split, within
-from .near_dedup import text_keys
+from .near_dedup import by_group, text_keys
 
 WINDOW = 35
 CELL = 16
 BUCKET_BYTES = 8 << 20  # of text for each bucket
-MAX_BUCKETS = 1 << 16
+MAX_BUCKETS, MAX_TASKS = 1 << 20, 1 << 15
 _DOCS = 1 << 15  # of a chunk, so that an index and a flag fit into 16 bits
 _FLAG = np.uint16(1 << 15)
 _PARTS = ("docs", "doc", "lo", "hi", "key", "key2", "hit_doc", "hit_lo", "hit_hi")
@@ -116,6 +120,7 @@ class _Unpacked:
 
 
 _ANSWER = "chunk long, docs binary, counts binary, places binary"
+_ANSWER_TYPES = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
 def _merged(columns: int):
@@ -242,6 +247,20 @@ def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
     return x.answer(hits & ~x.flag)
 
 
+def _by_bucket(blobs: DataFrame, n_buckets: int, answer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """answer for the rows of each bucket; buckets are dealt evenly to as many tasks, MAX_TASKS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in by_group(batches, ("bucket",)):
+            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield pa.RecordBatch.from_pandas(answer(table.slice(lo, hi - lo).to_pandas()), _ANSWER_TYPES, preserve_index=False)
+
+    tasks = min(n_buckets, MAX_TASKS)
+    dealt = blobs.repartitionById(tasks, F.col("bucket") % tasks)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, _ANSWER)
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -284,14 +303,14 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     info = materialise(docs.mapInArrow(_info, "doc_id long, th1 long, th2 long, n_words long, sha string"), "info")
     copies = materialise(info.groupBy("th1", "th2").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     anchors = docs.select("th1", "text").mapInArrow(_anchors(n_buckets, window), _BLOB)
-    cells = anchors.groupBy("bucket").applyInPandas(_probe, _ANSWER).groupBy("chunk").applyInPandas(_merged(1), "th1 long, places array<int>")
+    cells = _by_bucket(anchors, n_buckets, _probe).groupBy("chunk").applyInPandas(_merged(1), "th1 long, places array<int>")
     # Copies of a text have the same cells in most chunks, so most of them go before the shuffle.
     hits = cells.distinct().groupBy("th1").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("cells"))
     hits = materialise(hits, "hits")
     texts = may_match(docs.select("th1", "th2", "text"), "th1", bitmap(hits, F.col("th1"))).dropDuplicates(["th1", "th2"])
     texts = texts.join(hits, "th1").join(copies, ["th1", "th2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     texts = materialise(texts.select("th1", "th2", "copies", "cells", "text"), "texts")
-    found = texts.mapInArrow(_windows(n_buckets, window), _BLOB).groupBy("bucket").applyInPandas(_recurring, _ANSWER)
+    found = _by_bucket(texts.mapInArrow(_windows(n_buckets, window), _BLOB), n_buckets, _recurring)
     found = found.groupBy("chunk").applyInPandas(_merged(2), "th1 long, th2 long, places array<int>")  # a text is in one chunk
     cut = found.join(texts.where("copies = 1").select("th1", "th2", "text"), ["th1", "th2"])
     return info.join(copies, ["th1", "th2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))), cut
