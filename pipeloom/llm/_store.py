@@ -1,33 +1,23 @@
-"""Cutting lineage through the shared folder, and Bloom-like bitmaps of fixed size."""
+"""Tables between steps (``materialise`` writes them in the shared folder), fresh names, frequent rows, and bitmaps of fixed size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spool import written as materialise
+
+__all__ = ["bitmap", "fresh", "in_bitmap", "least_counts", "materialise", "may_match"]
+
 #: Bits of a bitmap: 2**23, so 1 MB whatever the input.
 BITMAP_BITS = 23
 _BUCKET_BITS = 15  # bitmap_construct_agg makes bitmaps of 4096 bytes
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it. Only in local mode, where every task sees the
-    driver's disk, may it be unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="pipeloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each with as many underscores as make it unlike all columns of df."""
     taken = {c.lower() for c in df.columns}
@@ -40,14 +30,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lost executors lose none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def least_counts(df: DataFrame, kind: str, count: str, most: dict[int, int]) -> dict[int, int]:
     """For each kind the least count from which on at most so many of its rows have it; kinds without such a count are left out.
 
