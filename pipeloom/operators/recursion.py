@@ -64,4 +64,6 @@ def recursive(seed: DataFrame, step, max_depth: int = 1000, distinct: bool = Fal
         if i == max_depth:
             raise ValueError(f"more than {max_depth} steps")
         out = out.union(level)
+        if distinct and i % 16 == 15:
+            out = written(out)  # many levels are looked at in each step
     return out

@@ -378,14 +378,14 @@ def agg_resample(t: Tables) -> DataFrame:
     return aggregates.agg_resample(t.orders, ["o_orderstatus"], F.count("*"), "o_totalprice", 0, 400000, 100000, "n")
 
 
-@query("SELECT count(DISTINCT o_custkey) AS exact, 0 AS off_by_twentieths, true AS as_whole FROM orders")
+@query("SELECT count(DISTINCT o_custkey) AS exact, 0 AS off_by_twentieths, 0 AS off_whole FROM orders")
 def agg_sketch_merge(t: Tables) -> DataFrame:
-    """The merged sketches of parts estimate what the sketch of the whole does, within a twentieth of the exact number."""
+    """The merged sketches of parts estimate, to a twentieth, the exact number and what the sketch of the whole does."""
     parts = t.orders.groupBy("o_orderstatus").agg(aggregates.state("distinct", "o_custkey").alias("s"))
     estimate = parts.agg(F.hll_sketch_estimate(aggregates.merged("distinct", "s")).alias("approx"))
     exact = t.orders.agg(F.count_distinct("o_custkey").alias("exact"), F.hll_sketch_estimate(aggregates.state("distinct", "o_custkey")).alias("whole"))
-    off = F.floor(F.abs(F.col("approx") - F.col("exact")) * 20 / F.col("exact")).cast("int")
-    return estimate.crossJoin(exact).select("exact", off.alias("off_by_twentieths"), (F.col("approx") == F.col("whole")).alias("as_whole"))
+    off = lambda c: F.floor(F.abs(F.col("approx") - F.col(c)) * 20 / F.col(c)).cast("int")
+    return estimate.crossJoin(exact).select("exact", off("exact").alias("off_by_twentieths"), off("whole").alias("off_whole"))
 
 
 @query("SELECT c_nationkey, round(entropy(c_mktsegment), 6) AS entropy FROM customer GROUP BY ALL")
@@ -1193,10 +1193,10 @@ def agg_array_combinator(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(aggregates.agg_array("embedding", 0.0, lambda s, x: s + x.cast("double") * x.cast("double")), 6).alias("squares"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT CAST(p_size AS BIGINT) AS x FROM part UNION SELECT CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM r WHERE x > 1) SELECT x FROM r""")
+@query("""WITH RECURSIVE r AS (SELECT CAST(p_size AS BIGINT) AS x FROM part UNION SELECT CASE WHEN x % 3 = 0 THEN x // 3 ELSE x - 1 END FROM r WHERE x > 1) SELECT x FROM r""")
 def recursive_distinct(t: Tables) -> DataFrame:
-    """All numbers that halving the even ones and tripling the odd ones reaches from the parts' sizes."""
-    step = lambda level: level.where("x > 1").selectExpr("CASE WHEN x % 2 = 0 THEN x DIV 2 ELSE 3 * x + 1 END AS x")
+    """All numbers that taking a third, or one less where there is none, reaches from the parts' sizes."""
+    step = lambda level: level.where("x > 1").selectExpr("CASE WHEN x % 3 = 0 THEN x DIV 3 ELSE x - 1 END AS x")
     return recursion.recursive(t.part.selectExpr("bigint(p_size) AS x").distinct(), step, distinct=True)
 
 
