@@ -13,14 +13,17 @@ transition on a byte gives the next state and the (net) number of emitted tokens
 the one on a byte that ends the word. States and transitions are made when first needed
 and kept, as many as a bound allows, like a lazy DFA of a pattern matcher.
 
-A word's end leads back to the start state. So a text's chunks, cut at word ends, have
-state maps that take the start state to itself with a count, and the prefix scan that
-composes them is a sum; chunks cut inside a word compose by ``scan``, a parallel prefix
-over (state to state, count) maps in log2 steps.
+The bytes of a text's words are cut into chunks of PIECE, at any byte. A chunk that begins
+within a word has a map over several states, {state before: (state after, emitted tokens)}: over the
+start state and those that the last bytes before the cut lead to from places of their own. A word's end
+leads back to the start state, so what follows the first end in a chunk counts the same for all of
+them. Maps compose by ``scan``, a parallel prefix in log2 steps; a state that a map should need but
+doesn't have is run then, so counts are exact whatever was guessed.
 
 Defined results: null and empty texts have no bytes and no tokens; the strings of special
 tokens count as one token each, as the library takes them by default; rows are counted
-each on its own; an empty table gives an empty table. Only doc_id and text are looked at.
+each on its own; an empty table gives an empty table. Texts count whole, of any length: each is one step of
+one task, a word of any length runs chunk by chunk. Only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 _END = "</w>"
 _STATES, _WORDS = 400_000, 500_000
-PIECE = 16_384  # words of a chunk
+PIECE = 1024  # bytes of a chunk
+BEHIND = 8  # bytes before a cut that its states are guessed from
 #: The pattern of the vocabulary file, and the same for ASCII texts.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -153,8 +157,6 @@ class Transducer:
 
     def count(self, word: str) -> int:
         """Tokens of a word."""
-        if len(self.states) > _STATES:
-            self.reset()
         data = word.encode()
         state, total = self.run(data[:-1])
         n = self.ends[state].get(data[-1])
@@ -176,15 +178,90 @@ def _pieces(text: str) -> list[str]:
     return _PIECES.findall(lower)
 
 
-def scan(maps: list[dict[int, tuple[int, int]]]) -> list[dict[int, tuple[int, int]]]:
-    """Prefix composition of chunk maps {state: (state, count)}, in log2(len) steps that each could run in parallel."""
-    out, width = list(maps), 1
-    while width < len(out):
-        out = [m if i < width else {s: (m[t][0], c + m[t][1]) for s, (t, c) in out[i - width].items() if t in m} for i, m in enumerate(out)]
-        width *= 2
+Map = dict[int, tuple[int, int]]
+
+
+class Chunk:
+    """Bytes of words side by side: the rest of a word that began before (if any), whole words, and the begin of one that goes on (if any)."""
+
+    def __init__(self, machine: Transducer, rest: bytes | None, ends: bool, count: int, begin: bytes) -> None:
+        self.machine, self.rest, self.ends, self.count, self.begin = machine, rest, ends, count, begin
+        self.known: Map = {}
+
+    def of(self, state: int) -> tuple[int, int]:
+        """State after the chunk and tokens emitted in it, from a state before it."""
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self._run(state)
+        return found
+
+    def _run(self, state: int) -> tuple[int, int]:
+        run, n = self.machine.run, 0
+        if self.rest is not None:
+            if not self.ends:
+                return run(self.rest, state)
+            state, n = run(self.rest[:-1], state)
+            last = self.machine.ends[state].get(self.rest[-1])
+            n += self.machine.end(state, self.rest[-1]) if last is None else last
+        state, more = run(self.begin)
+        return state, n + self.count + more
+
+
+def chunks_of(words: list[str], counts: _Counts, size: int) -> list[Chunk]:
+    """The words' bytes in chunks of so many (the last one of fewer), each with its map over the states guessed for it."""
+    machine, out = counts.machine, []
+    guesses = {0}
+
+    def close(rest: bytes | None, ends: bool, n: int, begin: bytes) -> None:
+        nonlocal guesses
+        out.append(Chunk(machine, rest, ends, n, begin))
+        for g in guesses:
+            out[-1].of(g)
+        before = begin or (b"" if ends or rest is None else rest)  # of a word that goes on
+        guesses = {0, *(machine.run(before[-k:])[0] for k in range(1, min(BEHIND, len(before)) + 1))}
+
+    rest: bytes | None = None  # of the word that was cut last
+    n, room = 0, size
+    for word in words:
+        data = word.encode()
+        if len(data) <= room:
+            n += counts[word]
+            room -= len(data)
+            continue
+        close(rest, True, n, data[:room])
+        at = room
+        while len(data) - at > size:
+            close(data[at : at + size], False, 0, b"")
+            at += size
+        rest, n, room = data[at:], 0, size - (len(data) - at)
+    close(rest, True, n, b"")
     return out
 
 
+def scan(chunks: list[Chunk]) -> list[Map]:
+    """Prefix composition of chunk maps from the start state, in log2(len) steps that each could run in parallel."""
+    maps: list[Map] = [dict(c.known) for c in chunks]
+    first = [0] * len(chunks)  # the first chunk that each map covers
+
+    def through(i: int, lo: int, state: int, n: int) -> tuple[int, int]:
+        """From a state before chunk lo through chunk i, a chunk at a time: for states that no map has."""
+        for c in chunks[lo : i + 1]:
+            state, more = c.of(state)
+            n += more
+        return state, n
+
+    first = list(range(len(chunks)))
+    width = 1
+    while width < len(maps):
+        joined: list[Map] = list(maps)
+        for i in range(width, len(maps)):
+            own = maps[i]
+            joined[i] = {s: (own[t][0], n + own[t][1]) if t in own else through(i, first[i], t, n) for s, (t, n) in maps[i - width].items()}
+        first = [first[i - width] if i >= width else first[i] for i in range(len(maps))]
+        maps, width = joined, 2 * width
+    return maps
+
+
 class _Counts(dict):
     """Tokens of each word, kept for as many words as the bound allows."""
 
@@ -212,10 +289,10 @@ def counter(path: str) -> _Counts:
 
 
 def n_tokens(text: str, counts: _Counts) -> int:
+    if len(counts.machine.states) > _STATES:
+        counts.machine.reset()
     words, specials = counts.machine.pieces(text)
-    # A word's end leads back to the start state 0, so that is the only state in the map of a chunk of whole words.
-    maps = [{0: (0, sum(map(counts.__getitem__, words[i : i + PIECE])))} for i in range(0, len(words), PIECE)]
-    return specials + (scan(maps)[-1][0][1] if maps else 0)
+    return specials + scan(chunks_of(words, counts, PIECE))[-1][0][1]
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
