@@ -80,6 +80,24 @@ def test_near_dedup_ids_and_rows(spark):
     assert near_dedup.digest(near_dedup.groups(df.limit(0))).count() == 0
 
 
+def test_components_of_chains_stars_and_random_edges(spark):
+    rng = random.Random(1)
+    for edges in ([(i, i + 1) for i in range(70)], [(99, i) for i in range(50)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], [(1, 1)], []):
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                root[find(a)] = find(b)
+        got = {r["k"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert set(got) == set(root) and all(got[got[x]] == got[x] for x in got)
+        assert {frozenset(x for x in got if got[x] == c) for c in got.values()} == {frozenset(x for x in root if find(x) == c) for c in map(find, root)}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     errors = []
