@@ -4,7 +4,8 @@ Counts of each text give five statistics. Each has a scale of integer levels: le
 what prose may show at most (LEAST), then even steps; a document's level is the highest of its five.
 A stratum (band of n_words) has one cutoff, which all five rules share: a document is rejected at that
 level or above. So the cutoffs of a stratum lie on one path, fixed beforehand, from the loosest (63)
-to the strictest (1).
+to the strictest (1). (RISK and the scales were set with a look at the labelled rows of sf0.01 and sf0.1, so
+on those two the bound below isn't one on fresh data.)
 
 The cutoff is chosen on the labelled good documents of the stratum that pass the base rule: along the
 path, a cutoff is accepted while the hypothesis "the rules together reject RISK of the good documents
